@@ -36,18 +36,35 @@ _FIELD = r"""(?:"(?:[^"]++|"")*+"|[^",]*+)"""
 CSV_LINE = rf"""^{_FIELD}(?:,{_FIELD})*+$"""
 
 
+#: The two commonest forms of LIST, told apart because their values come out by a plain split.
+_SIMPLE = r"""^\[(?:'[^'\\]*+'(?:, ?(?=')|(?=\])))++\]$"""
+_INTS = r"""^\[(?:-?[0-9]++(?:, ?(?=[-0-9])|(?=\])))++\]$"""
+
+
 def is_blank(c: Column) -> Column:
     return ~c.rlike(r"\S")
 
 
-def is_list(c: Column) -> Column:
-    """A comma-separated list in square brackets."""
-    return c.rlike(LIST)
+def kind(c: Column) -> Column:
+    """null, blank, list (of which simple and ints are forms), delimited, or bad: a quote or bracket has no partner.
+
+    Meant to be computed once, in a projection of its own; values() and
+    value_count() take it as a column.
+    """
+    return (
+        F.when(c.isNull(), F.lit(None))
+        .when(c.rlike(_SIMPLE), F.lit("simple"))
+        .when(c.rlike(_INTS), F.lit("ints"))
+        .when(is_blank(c), F.lit("blank"))
+        .when(c.rlike(LIST), F.lit("list"))
+        .when(c.rlike(PLAIN) | c.rlike(BRACKETED), F.lit("delimited"))
+        .otherwise(F.lit("bad"))
+    )
 
 
-def well_quoted(c: Column) -> Column:
-    """Every quote and bracket of the cell has its partner, in whichever notation."""
-    return c.rlike(LIST) | c.rlike(PLAIN) | c.rlike(BRACKETED)
+def is_list(kind_: Column) -> Column:
+    """By kind(): a comma-separated list in square brackets; false for null."""
+    return F.coalesce(kind_.isin("simple", "ints", "list"), F.lit(False))
 
 
 def list_items(c: Column) -> Column:
@@ -62,6 +79,15 @@ def unquoted(item: Column) -> Column:
     return F.when(item.rlike("^['\"]"), plain).otherwise(item)
 
 
+def list_values(kind_: Column, c: Column) -> Column:
+    """The values of a list cell, without quotes; null for other kinds."""
+    return (
+        F.when(kind_ == "simple", F.split(F.substring(c, F.lit(3), F.length(c) - 4), "', ?'"))
+        .when(kind_ == "ints", F.split(F.substring(c, F.lit(2), F.length(c) - 2), ", ?"))
+        .when(kind_ == "list", F.transform(list_items(c), unquoted))
+    )
+
+
 def slot_count(c: Column) -> Column:
     """Number of values of a well-quoted cell that is not a LIST; empty slots count, a final delimiter opens none.
 
@@ -77,6 +103,6 @@ def slot_count(c: Column) -> Column:
     return F.when(F.length(tight) == 0, F.lit(0)).otherwise(F.length(delims) + 1)
 
 
-def value_count(c: Column) -> Column:
-    """Number of values of a well-quoted cell in any notation; null for null."""
-    return F.when(is_blank(c), F.lit(0)).when(is_list(c), F.size(list_items(c))).otherwise(slot_count(c))
+def value_count(kind_: Column, values: Column, c: Column) -> Column:
+    """Number of values of a cell that is not bad, in any notation; null for null."""
+    return F.when(kind_ == "blank", F.lit(0)).when(is_list(kind_), F.size(values)).when(kind_ == "delimited", slot_count(c))

@@ -111,6 +111,7 @@ _CANDIDATES = T.StructType(
         T.StructField("src_name", T.StringType()),
         T.StructField("row_id", T.LongType()),
         T.StructField("field_name", T.StringType()),
+        T.StructField("copies", T.LongType()),
         T.StructField("cell_id", T.LongType()),
         T.StructField("dialect", T.StringType()),
         T.StructField("base_bits", T.DoubleType()),
@@ -122,8 +123,8 @@ _CANDIDATES = T.StructType(
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [
-            (src, row, field, cid, dialect, bits, values)
-            for src, row, field, cid, cell in zip(pdf.src_name, pdf.row_id, pdf.field_name, pdf.cell_id, pdf.cell, strict=True)
+            (src, row, field, copies, cid, dialect, bits, values)
+            for src, row, field, copies, cid, cell in zip(pdf.src_name, pdf.row_id, pdf.field_name, pdf.copies, pdf.cell_id, pdf.cell, strict=True)
             for dialect, values, bits in parses(cell)
         ]
         out = pd.DataFrame(rows, columns=_CANDIDATES.names)
@@ -131,31 +132,41 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def is_packed(cell: Column) -> Column:
-    """A cell with a value that is not a comma-separated list in square brackets."""
-    return cell.isNotNull() & ~N.is_blank(cell) & ~N.is_list(cell)
+def _cells_and_values(cells: DataFrame) -> DataFrame:
+    """One pass over all cells: every packed cell, and the number of each value of the plain lists.
+
+    is_cell, src_name, row_id, field_name, text, n. The grouping is combined
+    before the shuffle, so a value held by a third of all cells is a row of
+    each task.
+    """
+    cells = cells.withColumn("__kind", N.kind(F.col("cell")))
+    values = N.list_values(F.col("__kind"), F.col("cell"))
+    none = lambda kind: F.lit(None).cast(kind)
+    id_type = dict(cells.dtypes)["row_id"]
+    value = lambda x: F.struct(F.lit(False).alias("is_cell"), none("string").alias("src_name"), none(id_type).alias("row_id"), x.alias("text"))
+    cell = F.struct(F.lit(True).alias("is_cell"), F.col("src_name"), F.col("row_id"), F.col("cell").alias("text"))
+    found = F.when(N.is_list(F.col("__kind")), F.transform(values, value)).when(F.col("__kind").isin("delimited", "bad"), F.array(cell))
+    # explode_outer: the filter then stays above, and the values are made once.
+    long = cells.select("field_name", F.explode_outer(found).alias("x")).where(F.col("x.is_cell").isNotNull())
+    return long.groupBy("x.is_cell", "x.src_name", "x.row_id", "field_name", "x.text").agg(F.count(F.lit(1)).alias("n"))
 
 
 def choose_dialects(cells: DataFrame) -> DataFrame:
     """The cheapest parse of every packed cell.
 
     cells: src_name, row_id (may be null), field_name, cell. Returns src_name,
-    row_id, field_name, dialect, item_values. Null and blank cells and plain
-    lists have no row; the lists are what the value frequencies are taken from.
-    Repeated cells are each parsed; equal costs fall to the dialect with fewer
-    separators, then by its name.
+    row_id, field_name, dialect, item_values, copies. Null and blank cells and
+    plain lists have no row; the lists are what the value frequencies are taken
+    from. A cell that is repeated with its row_id has one row with its number
+    of copies; equal costs fall to the dialect with fewer separators, then by
+    its name.
     """
-    packed = cells.where(is_packed(F.col("cell"))).withColumn("cell_id", F.monotonically_increasing_id())
+    both = settle(_cells_and_values(cells))
+    packed = both.where("is_cell").select("src_name", "row_id", "field_name", F.col("text").alias("cell"), F.col("n").alias("copies"))
+    packed = packed.withColumn("cell_id", F.monotonically_increasing_id())
     # Written once: the ids are then fixed, and the parses are not made again for each use below.
-    cand = settle(packed.select("src_name", "row_id", "field_name", "cell_id", "cell").mapInPandas(_candidates, _CANDIDATES))
-
-    items = F.explode(N.list_items(F.col("cell"))).alias("raw")
-    listed = cells.where(F.col("cell").isNotNull() & N.is_list(F.col("cell"))).select("field_name", items)
-    model = (
-        listed.groupBy("field_name", "raw").agg(F.count(F.lit(1)).alias("n"))  # quotes off once a distinct value
-        .groupBy("field_name", N.unquoted(F.col("raw")).alias("value")).agg(F.sum("n").alias("n"))
-    )
-    model = settle(model)
+    cand = settle(packed.mapInPandas(_candidates, _CANDIDATES))
+    model = both.where("not is_cell").select("field_name", F.col("text").alias("value"), "n")
     totals = model.groupBy("field_name").agg(F.sum("n").alias("total"))
 
     use = cand.select("field_name", "cell_id", "dialect", F.explode("item_values").alias("value"))
@@ -180,12 +191,13 @@ def choose_dialects(cells: DataFrame) -> DataFrame:
     cost = cand.select("cell_id", "dialect", "base_bits").join(coded, ["cell_id", "dialect"])
     order = F.struct(F.round(F.col("base_bits") + F.col("bits"), 6), F.length("dialect"), F.col("dialect"))
     best = cost.groupBy("cell_id").agg(F.min_by("dialect", order).alias("dialect"))
-    return cand.join(best, ["cell_id", "dialect"], "left_semi").select("src_name", "row_id", "field_name", "dialect", "item_values")
+    return cand.join(best, ["cell_id", "dialect"], "left_semi").select("src_name", "row_id", "field_name", "dialect", "item_values", "copies")
 
 
 def unpack(cells: DataFrame) -> DataFrame:
     """src_name, row_id, field_name, item_no (from 1, empty slots counted), item: the non-empty values of packed cells."""
     chosen = choose_dialects(cells)
+    chosen = chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     long = chosen.select("src_name", "row_id", "field_name", F.posexplode("item_values").alias("at", "item"))
     return long.where(F.col("item") != "").select("src_name", "row_id", "field_name", (F.col("at") + 1).cast("bigint").alias("item_no"), "item")
 

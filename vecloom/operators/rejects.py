@@ -13,7 +13,7 @@ from vecloom.functions import notation as N
 #: The seven fields of a raw line, in order.
 LINE_FIELDS = ("sentence_id", "tokens", "pos", "index", "head_dist", "relation_type", "ariety")
 CHECKED = ("tokens", "relation_type", "ariety")
-_CORRUPT = "__corrupt_line"
+_CORRUPT, _CELLS = "__corrupt_line", "__cells"
 
 
 @dataclass(frozen=True)
@@ -41,28 +41,37 @@ def parse_lines(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     fields = [T.StructField(f"f{i}", T.StringType()) for i in range(len(LINE_FIELDS))]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "quote": '"', "escape": '"', "sep": ","}
-    return lines.withColumn("__cells", F.from_csv(F.col(raw), schema.simpleString(), options))
+    return lines.withColumn(_CELLS, F.from_csv(F.col(raw), schema.simpleString(), options))
 
 
-def _cell_checks(tokens: Column, relation: Column, arity: Column, labels: list[str]) -> dict[str, Column]:
-    """The three checks over the cells of one sentence, each null-safe."""
-    present = [F.coalesce(~N.is_blank(c), F.lit(False)) for c in (tokens, relation, arity)]
-    badly_quoted = [p & ~N.well_quoted(c) for p, c in zip(present, (tokens, relation, arity), strict=True)]
-    n = F.when(present[0], N.value_count(tokens)).otherwise(F.lit(0))
-    miscounted = [(n > 0) & p & (N.value_count(c) != n) for p, c in zip(present[1:], (relation, arity), strict=True)]
+def _with_parts(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """df with kind and values of each checked cell, each computed once, in projections of their own."""
+    df = df.withColumns({f"__kind_{n}": N.kind(c) for n, c in cells.items()})
+    return df.withColumns({f"__values_{n}": N.list_values(F.col(f"__kind_{n}"), c) for n, c in cells.items()})
 
-    def items(c: Column) -> Column:
-        loose = F.filter(F.split(F.regexp_replace(c, r"^\s*+[\[{(]|[\]})]\s*+$", " "), r"[,;|/\s]++"), lambda x: x != "")
-        return F.when(N.is_list(c), N.list_items(c)).otherwise(loose)
+
+def _cell_checks(cells: dict[str, Column], labels: list[str]) -> dict[str, Column]:
+    """The three checks over the cells of one sentence, on the columns that _with_parts() made."""
+    kinds = {n: F.col(f"__kind_{n}") for n in CHECKED}
+    values = {n: F.col(f"__values_{n}") for n in CHECKED}
+    counts = {n: N.value_count(kinds[n], values[n], cells[n]) for n in CHECKED}
+    present = {n: F.coalesce(kinds[n] != "blank", F.lit(False)) for n in CHECKED}
+    n = F.coalesce(counts["tokens"], F.lit(0))
+
+    def loose(c: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(c, r"^\s*+[\[{(]|[\]})]\s*+$", " "), r"[,;|/\s]++"), lambda x: x != "")
 
     known = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-    values = F.array_distinct(F.transform(F.array_distinct(items(relation)), N.unquoted))
-    bad_relation = present[1] & (F.size(F.array_except(values, known)) > 0)
-    bad_arity = present[2] & F.exists(F.array_distinct(items(arity)), lambda x: ~x.rlike(r"^\+?[0-9]++$"))
+    items = {n: F.coalesce(values[n], loose(cells[n])) for n in ("relation_type", "ariety")}
+    relations = F.when(N.is_list(kinds["relation_type"]), items["relation_type"]).otherwise(F.transform(items["relation_type"], N.unquoted))
+    # A quoted number is text, not a whole number: those lists are of the kind `list` or `simple`.
+    raw = F.when(kinds["ariety"].isin("simple", "list"), N.list_items(cells["ariety"])).otherwise(items["ariety"])
     return {
-        "quoting": badly_quoted[0] | badly_quoted[1] | badly_quoted[2],
-        "column_count": miscounted[0] | miscounted[1],
-        "bad_value": ~present[0] | (n == 0) | bad_relation | bad_arity,
+        "quoting": F.coalesce(kinds["tokens"] == "bad", F.lit(False)) | F.coalesce(kinds["relation_type"] == "bad", F.lit(False)) | F.coalesce(kinds["ariety"] == "bad", F.lit(False)),
+        "column_count": (n > 0) & ((present["relation_type"] & (counts["relation_type"] != n)) | (present["ariety"] & (counts["ariety"] != n))),
+        "bad_value": (n == 0)
+        | (present["relation_type"] & (F.size(F.array_except(relations, known)) > 0))
+        | (present["ariety"] & F.exists(F.array_distinct(raw), lambda x: ~x.rlike(r"^\+?[0-9]++$"))),
     }
 
 
@@ -74,6 +83,13 @@ def _first_reason(checks: dict[str, Column]) -> Column:
     return reason
 
 
+def _settled_reason(df: DataFrame, reason: Column) -> DataFrame:
+    """df with `reason`, computed once: a filter on it can't be pushed below the generator, to run the checks twice."""
+    made = [c for c in df.columns if c.startswith("__") and c != _CELLS]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made and c != "reason"]
+    return df.select(*kept, F.explode_outer(F.array(reason)).alias("reason"))
+
+
 def classify_sentences(sentences: DataFrame, labels: list[str]) -> DataFrame:
     """sentences with `reason`: null for a readable row, else the first fault that holds.
 
@@ -81,8 +97,8 @@ def classify_sentences(sentences: DataFrame, labels: list[str]) -> DataFrame:
     ariety is no fault. Columns beyond the checked ones pass through untouched;
     an own column `reason` in the input is replaced.
     """
-    checks = _cell_checks(*[F.col(f"`{c}`") for c in CHECKED], labels)
-    return sentences.withColumn("reason", _first_reason(checks))
+    cells = {c: F.col(f"`{c}`") for c in CHECKED}
+    return _settled_reason(_with_parts(sentences, cells), _first_reason(_cell_checks(cells, labels)))
 
 
 def classify_lines(lines: DataFrame, labels: list[str], raw: str = "raw_line") -> DataFrame:
@@ -91,19 +107,22 @@ def classify_lines(lines: DataFrame, labels: list[str], raw: str = "raw_line") -
     A null line has no fields and is `column_count`, as is an empty one. Field
     columns of the input with the same names are replaced.
     """
-    parsed = parse_lines(lines, raw)
-    line, cells = F.col(f"`{raw}`"), [F.col(f"__cells.f{i}") for i in range(len(LINE_FIELDS))]
-    corrupt = line.isNull() | F.col(f"__cells.{_CORRUPT}").isNotNull()
+    line = F.col(f"`{raw}`")
+    by_name = {n: F.col(f"{_CELLS}.f{i}") for i, n in enumerate(LINE_FIELDS)}
+    parsed = _with_parts(parse_lines(lines, raw), {n: by_name[n] for n in CHECKED})
     # Corrupt rows are classified anew: what looks like a wrong count may be a quote without partner.
     line_quoting = line.isNotNull() & ~line.rlike(N.CSV_LINE)
     commas = F.regexp_replace(F.regexp_replace(line, r'"(?:[^"]++|"")*+"', ""), r"[^,]++", "")
     seven = line.isNotNull() & (F.length(commas) == len(LINE_FIELDS) - 1)
-    by_name = dict(zip(LINE_FIELDS, cells, strict=True))
-    checks = _cell_checks(*[by_name[c] for c in CHECKED], labels)
+    checks = _cell_checks(by_name, labels)
     reason = _first_reason(
-        {"quoting": line_quoting | (seven & checks["quoting"]), "column_count": ~seven | (checks["column_count"]), "bad_value": checks["bad_value"] | corrupt}
+        {
+            "quoting": line_quoting | (seven & checks["quoting"]),
+            "column_count": ~seven | checks["column_count"],
+            "bad_value": checks["bad_value"] | F.col(f"{_CELLS}.{_CORRUPT}").isNotNull(),
+        }
     )
-    return parsed.withColumns({"reason": reason, **by_name}).drop("__cells")
+    return _settled_reason(parsed, reason).withColumns(by_name).drop(_CELLS)
 
 
 def separate(classified: DataFrame) -> Separated:
