@@ -28,8 +28,9 @@ SINGLE_BYTE = (
 )
 #: A passage is compared by its ASCII characters if it has at least this many besides blanks.
 LEAST_ASCII = 6
-#: A transformation counts as learned from this many different aligned words on, which no better one explains.
-LEAST_PAIRS = 3
+#: A transformation counts as learned from this many different aligned words on, which no better one explains;
+#: a word counts from two passages on, as two garbled forms of one text may also meet.
+LEAST_PAIRS, LEAST_VOTES = 3, 2
 #: Explanation sets (which transformations explain a pair) that may be fetched to the driver.
 MOST_SETS = 100_000
 #: How much commoner the restored word must be where its bytes alone prove nothing, and the surroundings likewise.
@@ -82,8 +83,11 @@ def undo(text: str, chain: str) -> str | None:
         if source == "utf-8":
             try:
                 text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                return None
+            except UnicodeDecodeError as e:
+                # A last byte A0 reads as a no-break space, which often became a blank: outside the word.
+                if e.reason != "unexpected end of data" or e.start != len(data) - 1 or not 0xC2 <= data[-1] <= 0xDF:
+                    return None
+                text = (data + b"\xa0").decode("utf-8")
         else:
             text = _decode(data, source)
     return text
@@ -217,7 +221,7 @@ class Repair:
         return w.groupBy("garbled", "clean").agg(F.sum("votes").alias("votes"))
 
     def _infer(self) -> list[str]:
-        whole = self.pairs.where(~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
+        whole = self.pairs.where((F.col("votes") >= LEAST_VOTES) & ~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
         explained = whole.mapInPandas(_explained, "garbled string, clean string, explained string").where("explained != ''")
         sets = explained.groupBy("explained").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "explained").limit(MOST_SETS + 1).collect()
         if len(sets) > MOST_SETS:
