@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = os.path.join(tempfile.gettempdir(), f"vecloom-{os.getuid()}", "checkpoints")
-    os.makedirs(at, exist_ok=True)
-    return "file://" + at
+    return "file://" + _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    at = tempfile.mkdtemp(prefix="vecloom-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
 
 
 def settle(df: DataFrame) -> DataFrame:
