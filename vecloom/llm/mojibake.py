@@ -99,11 +99,15 @@ def chains() -> list[str]:
     return out + [f"{s}>{r}" for s in SINGLE_BYTE for r in SINGLE_BYTE if s != r]
 
 
+#: Chains whose result checks itself.
+PROVEN = frozenset(c for c in chains() if c.startswith("utf-8>"))
+
+
 def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = chains()
     for pdf in batches:
         sets = ["|".join(c for c in known if undo(g, c) == t) for g, t in zip(pdf.garbled, pdf.clean, strict=True)]
-        yield pdf[["garbled", "clean"]].assign(explained=sets)
+        yield pdf[["garbled", "clean", "votes"]].assign(explained=sets)
 
 
 def best_chains(sets: list[tuple[str, int]], least: int) -> list[str]:
@@ -221,12 +225,16 @@ class Repair:
         return w.groupBy("garbled", "clean").agg(F.sum("votes").alias("votes"))
 
     def _infer(self) -> list[str]:
-        whole = self.pairs.where((F.col("votes") >= LEAST_VOTES) & ~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
-        explained = whole.mapInPandas(_explained, "garbled string, clean string, explained string").where("explained != ''")
-        sets = explained.groupBy("explained").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "explained").limit(MOST_SETS + 1).collect()
+        whole = self.pairs.where(~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
+        explained = whole.mapInPandas(_explained, "garbled string, clean string, votes bigint, explained string").where("explained != ''")
+        firm = F.count(F.when(F.col("votes") >= LEAST_VOTES, 1)).alias("firm")
+        sets = explained.groupBy("explained").agg(F.count(F.lit(1)).alias("n"), firm).orderBy(F.desc("n"), "explained").limit(MOST_SETS + 1).collect()
         if len(sets) > MOST_SETS:
             raise ValueError(f"more than {MOST_SETS} explanation sets")
-        return best_chains([(r.explained, r.n) for r in sets], LEAST_PAIRS)
+        # Bytes that decode as UTF-8 prove themselves: one pair is enough.
+        sure = best_chains([("|".join(c for c in r.explained.split("|") if c in PROVEN), r.n) for r in sets], 1)
+        rest = [(r.explained, r.firm) for r in sets if not set(r.explained.split("|")) & set(sure)]
+        return sure + best_chains(rest, LEAST_PAIRS)
 
     def _garbled_words(self) -> DataFrame:
         """word, chain, restored: by a learned chain whose result the collection confirms, else by the twins."""
