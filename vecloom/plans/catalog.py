@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.plans import parsing
+from vecloom.plans import parsing, reference
 
-_PARTS = [parsing]
+flagship = reference.flagship
+_PARTS = (parsing, reference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
