@@ -38,9 +38,9 @@ WORD_RATIO, LEAST_WORDS, CONTEXT_RATIO, LEAST_CONTEXTS = 5, 5, 20, 20
 BROADCAST_ROWS, SALTS = 200_000, 16
 
 _BREAK = r"\n+|(?<=[.!?])\s+"
-#: Letters, digits and what is not ASCII, with at least one of the latter.
-_WORD = r"[A-Za-z0-9]*+(?:[^\x00-\x7F]++[A-Za-z0-9]*+)++"
-_PY_WORD = re.compile(r"[A-Za-z0-9]*(?:[^\x00-\x7f]+[A-Za-z0-9]*)+")
+#: Letters, digits and what is not ASCII, with at least one of the latter. Begun at a word's start only: else a long word costs its square.
+_WORD = r"(?<![A-Za-z0-9])[A-Za-z0-9]*+(?:[^\x00-\x7F]++[A-Za-z0-9]*+)++"
+_PY_WORD = re.compile(_WORD)
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -166,6 +166,8 @@ def _tries(learned: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
                     else:
                         pairs = [(_key(a), _key(b)) for a, b in zip(_contexts(w), _contexts(r), strict=True) if a != b]
                     rows.append((w, n, c, r, _plain(r), pairs))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["word", "n_docs", "chain", "restored", "plain", "pairs"])
             out["pairs"] = [[{"before": a, "after": b} for a, b in p] for p in out["pairs"]]
             yield out
