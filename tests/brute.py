@@ -85,7 +85,7 @@ def slots(cell: str) -> list[str] | None:
                 j += 1
             out.append(s[i:j])
             pending, i = False, j
-    return out
+    return out if any(out) or "'" in s or '"' in s else []
 
 
 def reason(tokens: str | None, relation: str | None, arity: str | None, labels: set[str]) -> str | None:

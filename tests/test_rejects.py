@@ -1,9 +1,9 @@
 """Rows that fail to parse, against a reader that takes one character at a time."""
 
+import random
+
 import brute
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from vecloom.operators import rejects as R
 
@@ -32,14 +32,13 @@ def test_cells_as_the_character_reader(spark):
         assert got[i].extra == 7
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text(alphabet="[]{}'\",;|/ \\ab1", max_size=14), min_size=20, max_size=60))
-def test_any_text_as_the_character_reader(spark, texts):
+def test_any_text_as_the_character_reader(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("[]{}'\",;|/ ab1") for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     cells = [(t, "['root']", None) for t in texts]
     got = _classified(spark, cells)
-    for i, c in enumerate(cells):
-        if "\\" not in c[0]:  # brackets other than of a list: a backslash is read as a character or an escape
-            assert got[i].reason == brute.reason(*c, set(LABELS)), c
+    wrong = [(c, got[i].reason) for i, c in enumerate(cells) if got[i].reason != brute.reason(*c, set(LABELS))]
+    assert wrong[:5] == []
 
 
 LINES = [

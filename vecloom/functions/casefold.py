@@ -16,7 +16,7 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     Built by rule from the Unicode data of this Python, not listed by hand.
     """
     one_from, one_to, many = [], [], {}
-    for cp in range(128, sys.maxunicode + 1):
+    for cp in range(sys.maxunicode + 1):
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
@@ -40,12 +40,9 @@ def casefold(col: Column | str) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     one_from, one_to, many = _tables()
-    single = F.lower(F.translate(c, one_from, one_to))
-    # lower() after translate() touches ASCII only: every other code point with a fold is folded by then.
-    chained = F.translate(c, one_from, one_to)
+    single = chained = F.translate(c, one_from, one_to)  # ASCII letters among them: lower() would change what is folded already
     for ch, to in many.items():
         chained = F.replace(chained, F.lit(ch), F.lit(to))
-    chained = F.lower(chained)
     return (
         F.when(~c.rlike(r"[^\x00-\x7F]"), F.lower(c))
         .when(c.rlike("[" + "".join(many) + "]"), chained)

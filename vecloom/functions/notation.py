@@ -89,7 +89,8 @@ def list_values(kind_: Column, c: Column) -> Column:
 
 
 def slot_count(c: Column) -> Column:
-    """Number of values of a well-quoted cell that is not a LIST; empty slots count, a final delimiter opens none.
+    """Number of values of a well-quoted cell that is not a LIST; empty slots count, a final delimiter
+    opens none, and a cell with nothing but delimiters has no value.
 
     Whitespace around another delimiter belongs to it; else a run of whitespace is one delimiter.
     """
@@ -100,7 +101,7 @@ def slot_count(c: Column) -> Column:
     tight = F.regexp_replace(tight, r"\s++", " ")
     tight = F.regexp_replace(tight, r"[,;|/]$", "")
     delims = F.regexp_replace(tight, r"[^,;|/\s]++", "")
-    return F.when(F.length(tight) == 0, F.lit(0)).otherwise(F.length(delims) + 1)
+    return F.when(F.length(tight) == F.length(delims), F.lit(0)).otherwise(F.length(delims) + 1)
 
 
 def value_count(kind_: Column, values: Column, c: Column) -> Column:

@@ -23,10 +23,10 @@ def _fields(df: DataFrame, keys: list[str], *more: tuple[str, T.DataType]) -> T.
     return T.StructType([f for k in keys for f in df.schema.fields if f.name == k] + [T.StructField(n, t) for n, t in more])
 
 
-def evaluate(metric: str, cloud: K.Cloud) -> tuple[float | None, str | None]:
+def evaluate(kernel: str | Callable[[K.Cloud], float], cloud: K.Cloud) -> tuple[float | None, str | None]:
     """Value and error of one metric; a failure or a value that is not finite becomes null."""
     try:
-        value = float(K.METRICS[metric][1](cloud))
+        value = float((K.METRICS[kernel][1] if isinstance(kernel, str) else kernel)(cloud))
         return (value, None) if math.isfinite(value) else (None, None)
     except Exception as e:  # noqa: BLE001
         return None, repr(e)[:200]
@@ -53,11 +53,13 @@ def spectral_agg(df: DataFrame, keys: list[str], vec: str, metrics: tuple[str, .
 
 
 def _evaluator(keys: list[str], own: list[str], seed: int, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    registered = {m: K.METRICS[m][1] for m in own}  # sent along: a task's registry has the built-in metrics only
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__id")
         cloud = K.Cloud(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"]]), seed)
         key = tuple(pdf[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*key, m, *evaluate(m, cloud)) for m in own], columns=[*keys, "metric", "value", "error"]).assign(n=cloud.n)[names]
+        return pd.DataFrame([(*key, m, *evaluate(f, cloud)) for m, f in registered.items()], columns=[*keys, "metric", "value", "error"]).assign(n=cloud.n)[names]
 
     return run
 
@@ -92,12 +94,14 @@ def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: s
     cap = cap or CAPS[K.METRICS[metric][0]]
     out = _fields(df, [cls, layer], ("metric", T.StringType()), ("mean", T.DoubleType()), ("ci_low", T.DoubleType()), ("ci_high", T.DoubleType()), ("n_tokens", T.LongType()))
 
+    kernel = K.METRICS[metric][1]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 3:
             return pd.DataFrame(columns=out.names)
         pdf = pdf.sort_values("__id")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"]])
-        values = [evaluate(metric, K.Cloud(x[i], seed))[0] for i in bootstrap_indices(len(x), min(m, len(x)), reps, seed)]
+        values = [evaluate(kernel, K.Cloud(x[i], seed))[0] for i in bootstrap_indices(len(x), min(m, len(x)), reps, seed)]
         v = np.array([np.nan if a is None else a for a in values])
         stats = (float(np.nanmean(v)), *map(float, np.nanpercentile(v, [2.5, 97.5]))) if np.isfinite(v).any() else (None, None, None)
         return pd.DataFrame([(pdf[cls].iloc[0], pdf[layer].iloc[0], metric, *stats, len(x))], columns=out.names)
@@ -111,13 +115,15 @@ def points_table(samples: DataFrame, point: str, id_: str, vec: str, metrics: li
     """A row per sample: point, n, and a column per metric in the given order; heavy ones on heavy_cap vectors."""
     out = T.StructType([T.StructField(point, samples.schema[point].dataType), T.StructField("n", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in metrics]])
 
+    registered = [K.METRICS[m] for m in metrics]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_)
         x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
         p = int(pdf[point].iloc[0])
         some = x if len(x) <= heavy_cap else x[np.random.default_rng(seed + p).choice(len(x), heavy_cap, replace=False)]
         clouds = {"fast": K.Cloud(x, seed), "heavy": K.Cloud(some, seed)}
-        return pd.DataFrame([[p, len(x), *[evaluate(m, clouds[K.METRICS[m][0]])[0] for m in metrics]]], columns=out.names)
+        return pd.DataFrame([[p, len(x), *[evaluate(f, clouds[cost])[0] for cost, f in registered]]], columns=out.names)
 
     return samples.select(point, id_, vec).groupBy(point).applyInPandas(run, out)
 
