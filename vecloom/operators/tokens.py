@@ -88,3 +88,8 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no {what}")
     return df
+
+
+def reduce_to(sentences: DataFrame, ids: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """The sentences whose id is among `ids`, each once, whatever its number of tokens there."""
+    return sentences.join(ids.select(key), key, "left_semi")

@@ -150,3 +150,9 @@ def correlation_integral(neighbours_all: DataFrame, keys: list[str], lo: float,
     """keys, corrint: the slope of the log share of pairs nearer than lo and hi. Needs all pair distances."""
     c = neighbours_all.groupBy(*keys).agg(F.avg((F.col("r") < lo).cast("double")).alias("a"), F.avg((F.col("r") < hi).cast("double")).alias("b"))
     return c.select(*keys, F.when((F.col("a") > 0), (F.log("b") - F.log("a")) / (F.log(F.lit(hi)) - F.log(F.lit(lo)))).alias("corrint"))
+
+
+def tensor_shape(df: DataFrame, layer: str, vec: str) -> DataFrame:
+    """n_layers, n_vectors, least_dim, most_dim: what a model's description would say, from the data."""
+    size = F.size(vec)
+    return df.agg((F.max(layer) + 1).alias("n_layers"), F.count(F.lit(1)).alias("n_vectors"), F.min(size).alias("least_dim"), F.max(size).alias("most_dim"))

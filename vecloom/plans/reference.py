@@ -10,7 +10,7 @@ from vecloom.operators import kernels, metrics, outliers, profile, rankstats, sa
 from vecloom.operators.hotkeys import tag
 from vecloom.operators.rejects import classify_sentences, known_labels, separate
 from vecloom.session import settle
-from vecloom.sources import manifolds
+from vecloom.sources import manifolds, tables
 
 FEATURES = ["pos", "index", "length", "head_dist", "relation_type", "arity"]
 
@@ -122,6 +122,22 @@ def expanded_tokens(spark, sf):
     return tokens.expand_tokens(_read(spark, sf, "en_ewt_ud_train_sentences"), keep=["row_id"])
 
 
+def sorted_classes(spark, sf):
+    t = _read(spark, sf, "sentence_tokens").select(tokens.index_class(F.col("index").cast("int")).alias("index_class"))
+    return t.where("index_class is not null").distinct().select("index_class", F.col("index_class").cast("int").alias("ord")).orderBy("ord")
+
+
+def semi_join_reduce(spark, sf):
+    wanted = _tokens(spark, sf).where("pos = 'INTJ'").select("row_id")
+    return tokens.reduce_to(_read(spark, sf, "en_ewt_ud_train_sentences"), wanted, "row_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing_vector_report(spark, sf):
+    t = _read(spark, sf, "sentence_tokens").where("word_id = 0").select(F.col("row_id").alias("token_id"))
+    v = _embeddings(spark, sf).select(F.col("vec_id").alias("token_id"))
+    return spark.createDataFrame([(tables.missing_vectors(t, v, ["token_id"]),)], "n_missing bigint")
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 def layer_dim_means(spark, sf):
     m = vectors.dim_means(_embeddings(spark, sf), ["label"], "embedding")
@@ -179,6 +195,10 @@ def _pooled(how: str):
     return query
 
 
+def tensor_shape(spark, sf):
+    return vectors.tensor_shape(_embeddings(spark, sf), "label", "embedding")
+
+
 def spectral_metrics(spark, sf):
     return metrics.spectral_agg(_embeddings(spark, sf), ["label"], "embedding")
 
@@ -250,7 +270,7 @@ def metric_labels(spark, sf):
 _ALL = [
     token_index_counts, token_length_hist, head_dist_hist, arity_hist, topk_pos, topk_relation,
     *[_profile_of(c) for c in ("pos", "index", "length", "relation_type", "arity")], class_profile_head_dist, class_profile_top5,
-    exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens,
+    exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens, sorted_classes, semi_join_reduce, missing_vector_report, tensor_shape,
     layer_dim_means, outlier_counts, participation_ratio, vmf_kappa, scatter_matrix, mean_abs_cosine, twonn, neighbour_dimensions, corrint,
     *[_pooled(h) for h in ("first", "last", "mean")], spectral_metrics, vector_metrics, pca3d, bootstrap_pr, bootstrap_ci_summary, metric_points, metric_correlation,
     spearman_matrix, spearman_cells, minmax_normalise, pivot_metrics, manifold_sweep, metric_labels,
@@ -330,6 +350,10 @@ ORACLE = {
     "fixed_type": f"with n as (select {_TAG} as pos, count(distinct word_norm) as n from sentence_tokens where {_TAG} is not null group by 1) select pos, (select min(n) from n) as n_types from n",
     "pos_x_right_left": f"select upper(trim(pos, {_BLANKS})) as pos, cast(sign(head_dist) as integer) as side, count(*) as n, count(distinct word_norm) as n_types from sentence_tokens where head_dist <> 0 and pos is not null and not isnan(head_dist) group by all",
     "pos_x_head_dist": f"with {_T} select pos, head_dist, count(*) as n from t where pos is not null and head_dist between -6 and 6 group by all",
+    "sorted_classes": 'select distinct cast(cast(least(trunc("index"), 10) as bigint) as varchar) as index_class, cast(least(trunc("index"), 10) as integer) as ord from sentence_tokens where trunc("index") >= 1',
+    "semi_join_reduce": f"select batch_id, count(*) as n from en_ewt_ud_train_sentences where row_id in (select row_id from sentence_tokens where {_TAG} = 'INTJ') group by 1",
+    "missing_vector_report": "select count(*) as n_missing from sentence_tokens where word_id = 0 and row_id not in (select vec_id from embeddings)",
+    "tensor_shape": "select max(label) + 1 as n_layers, count(*) as n_vectors, min(len(embedding)) as least_dim, max(len(embedding)) as most_dim from embeddings",
     "layer_dim_means": f"with {_MEANS} select label, cast(dim as integer) as dim, round(mean, 9) as mean from m",
     "outlier_counts": f"""with {_MEANS}, l as (select avg(mean) + 1.5 * stddev_pop(mean) as thr from m), k as (select label, dim, mean, thr, mean >= thr as mask from m cross join l),
         p as (select *, lag(mask, 1, false) over (partition by dim order by label) as before from k)

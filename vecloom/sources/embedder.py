@@ -40,12 +40,12 @@ def load_first(candidates: list[str], load: Callable[[str], Model]) -> Model:
     raise RuntimeError(f"none of {candidates} could be loaded: {last}")
 
 
-def embed(sentences: DataFrame, model: Callable[[], Model], mode: str = "first") -> DataFrame:
+def embed(sentences: DataFrame, model: Callable[[], Model], mode: str = "first", half: bool = False) -> DataFrame:
     """sentence_id, word_id, layer, vec of every word that the model returns sub-tokens for.
 
     sentences: sentence_id, words (array<string>). mode: first, last or mean of
     a word's sub-tokens. The model is made once per task. Words without
-    sub-tokens have no row.
+    sub-tokens have no row. half rounds the vectors to 16-bit floats on the way.
     """
     if mode not in ("first", "last", "mean"):
         raise ValueError(f"mode {mode!r} is not first, last or mean")
@@ -59,7 +59,7 @@ def embed(sentences: DataFrame, model: Callable[[], Model], mode: str = "first")
                 for w in np.unique(ids):
                     own = v[:, ids == w]
                     pooled = own[:, 0] if mode == "first" else own[:, -1] if mode == "last" else own.mean(axis=1)
-                    rows += [(sid, int(w), layer, pooled[layer].astype(np.float32)) for layer in range(len(v))]
+                    rows += [(sid, int(w), layer, pooled[layer].astype(np.float16 if half else np.float32).astype(np.float32)) for layer in range(len(v))]
             yield pd.DataFrame(rows, columns=["sentence_id", "word_id", "layer", "vec"])
 
     return sentences.select("sentence_id", F.col("words")).mapInPandas(run, "sentence_id string, word_id int, layer int, vec array<float>")
