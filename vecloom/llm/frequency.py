@@ -30,7 +30,8 @@ def suffixes(tokens: DataFrame, record: str, position: str, term: Column, longes
     of its terms; a null term ends the phrases before it.
     """
     rows = tokens.select(F.col(f"`{record}`").alias("record"), F.col(f"`{position}`").alias("at"), term.alias("t0"))
-    rows = rows.where(F.col("record").isNotNull()).groupBy("record", "at").agg(F.min("t0").alias("t0"))
+    # Sent by record once: the grouping and the window below both find their rows together.
+    rows = rows.where(F.col("record").isNotNull()).repartition("record").groupBy("record", "at").agg(F.min("t0").alias("t0"))
     if longest > 1:
         w = W.partitionBy("record").orderBy(F.col("at").asc_nulls_last())
         rows = rows.withColumns({f"t{k}": F.lead("t0", k).over(w) for k in range(1, longest)})
