@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from vecloom.functions.stats import spearman_p_udf
 from vecloom.session import settle
 
-#: Ranges of values that ranks are counted in, so that no task orders all values of a column.
-RANGES = 64
-
 
 def _finite(c: Column) -> Column:
     d = c.cast("double")
@@ -29,10 +26,9 @@ def _pair_ranks(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 def _with_rank(long: DataFrame, value: str, rank: str) -> DataFrame:
     """long with the average rank of `value` among the rows of its pair (n rows each)."""
-    counts = settle(long.groupBy("m1", "m2", value).agg(F.sum("n").alias("c")))
-    cuts = counts.groupBy("m1", "m2").agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("cuts"))
-    at = F.size(F.filter("cuts", lambda c: c < F.col(value)))
-    counts = counts.join(F.broadcast(cuts), ["m1", "m2"]).withColumn("range", at).drop("cuts")  # a row per pair
+    counts = long.groupBy("m1", "m2", value).agg(F.sum("n").alias("c"))
+    # Ranges of the values, so that no task orders all of a column; written, as the ranges must not change between reads.
+    counts = settle(counts.repartitionByRange("m1", "m2", value).withColumn("range", F.spark_partition_id()))
     sums = counts.groupBy("m1", "m2", "range").agg(F.sum("c").alias("all"))
     before = F.coalesce(F.sum("all").over(W.partitionBy("m1", "m2").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.join(sums.select("m1", "m2", "range", before.alias("before")), ["m1", "m2", "range"])
