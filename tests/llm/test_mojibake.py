@@ -72,3 +72,15 @@ def test_few_documents(spark):
     repair = M.Repair(spark.createDataFrame([(i, t, "") for i, t in rows], DOCS))
     assert [r.doc_id for r in repair.found().collect()] == [3]
     assert M.Repair(spark.createDataFrame([], DOCS)).found().collect() == []
+
+
+def test_passages_with_little_ascii(spark):
+    clean = ["Слово стоит перед глаголом.", "Где находится старая библиотека?", "Πού είναι ο σταθμός;", "Η λέξη έχει 12 γράμματα.", "Привет, дорогой друг."]
+    bad = {100: (0, "cp1251>cp866"), 101: (1, "utf-8>cp1251"), 102: (2, "cp1253>cp1252"), 103: (3, "utf-8>cp1252*2")}
+    docs = [(i, clean[i % 5]) for i in range(60)] + [(i, garble(clean[k], chain)) for i, (k, chain) in bad.items()]
+    # Garbled in one word, and with a lost character.
+    docs += [(104, "Слово стоит " + garble("перед", "cp1251>cp866") + " глаголом."), (105, clean[4].replace("ж", "\ufffd").replace("г", "\ufffd"))]
+    repair = M.Repair(spark.createDataFrame([(i, t, "") for i, t in docs], DOCS))
+    assert {r.doc_id for r in repair.found().collect()} == {*bad, 104, 105}
+    restored = {r.doc_id: r.restored for r in repair.restored().collect()}
+    assert restored == {**{i: clean[k] for i, (k, _) in bad.items()}, 104: clean[0], 105: clean[4]}

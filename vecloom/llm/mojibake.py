@@ -11,6 +11,7 @@ that their twins have.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ SINGLE_BYTE = (
     "cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "mac_roman", "mac_latin2", "mac_cyrillic",
     "cp437", "cp850", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15",
 )
-#: A passage is compared by its ASCII characters if it has at least this many besides blanks.
+#: A passage is compared by its ASCII characters if it has at least this many besides blanks, else by a stricter key (_shape).
 LEAST_ASCII = 6
 #: A transformation counts as learned from this many different aligned words on, which no better one explains;
 #: a word counts from two passages on, as two garbled forms of one text may also meet.
@@ -110,6 +111,55 @@ def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["garbled", "clean", "votes"]].assign(explained=sets)
 
 
+def _shape(text: str) -> str:
+    """The text with the non-ASCII characters of every word numbered by first occurrence: single-byte re-decodings of a word keep it."""
+
+    def shape(m: re.Match) -> str:
+        seen: dict[str, int] = {}
+        return "".join([ch if ch < "\x80" else chr(0x100 + seen.setdefault(ch, len(seen))) for ch in m.group()])
+
+    return _PY_WORD.sub(shape, text)
+
+
+def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(shape=[_shape(p) for p in pdf.passage])
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of passages of one shape whose words are equal or become so when one single-byte chain is undone."""
+    known = [c for c in chains() if c not in PROVEN]
+    for pdf in batches:
+        rows = []
+        for group in pdf["group"]:
+            n = {g["passage"]: g["n"] for g in group}
+            words = {p: _PY_WORD.findall(p) for p in n}
+            at = defaultdict(list)  # the passages by place and word
+            for p, own in words.items():
+                for i, w in enumerate(own):
+                    at[i, w].append(p)
+            met = set()
+            for p, own in words.items():
+                for c in known:
+                    undone = [undo(w, c) for w in own]
+                    for i, (w, r) in enumerate(zip(own, undone, strict=True)):
+                        if r is not None and r != w:
+                            met |= {(min(p, q), max(p, q)) for q in at.get((i, r), ()) if all(x in y for x, y in zip(words[q], zip(own, undone, strict=True), strict=True))}
+            rows += [(p, q, n[p], n[q]) for p, q in met]
+        yield pd.DataFrame(rows, columns=["passage", "twin", "n", "twin_n"])
+
+
+def _proven_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every passage with what its words are before a UTF-8 chain."""
+    proven = [c for c in chains() if c in PROVEN]
+    for pdf in batches:
+        rows = []
+        for p, n in zip(pdf.passage, pdf.n, strict=True):
+            forms = {_PY_WORD.sub(lambda m, c=c: undo(m.group(), c) or m.group(), p) for c in proven}
+            rows += [(p, f, n) for f in forms if f != p]
+        yield pd.DataFrame(rows, columns=["passage", "twin", "n"])
+
+
 def best_chains(sets: list[tuple[str, int]], least: int) -> list[str]:
     """A small set of chains that explains the pairs: the one that explains most first, until less than `least` are added."""
     left = [(frozenset(s.split("|")), n) for s, n in sets if s]
@@ -209,11 +259,13 @@ class Repair:
         p = p.groupBy("passage").agg(F.count(F.lit(1)).alias("n"))  # combined before the shuffle
         # The ASCII characters alone, a mark where others stood: equal for twins, whose words then pair off.
         p = p.withColumn("skeleton", F.regexp_replace("passage", r"[^\x00-\x7F]++", "\x00"))
-        p = p.where(F.length(F.regexp_replace("skeleton", r"[\x00\s]++", "")) >= LEAST_ASCII)
-        p = p.select(F.xxhash64("skeleton").alias("key"), "skeleton", "passage", "n")
+        p = settle(p.withColumn("short", F.length(F.regexp_replace("skeleton", r"[\x00\s]++", "")) < LEAST_ASCII))
+        short = p.where("short").select("passage", "n")
+        p = p.where("not short").select(F.xxhash64("skeleton").alias("key"), "skeleton", "passage", "n")
         # One representative per skeleton, not all pairs: its commonest passage, which is the clean one unless it ties.
         best = p.groupBy("key", "skeleton").agg(F.max_by("passage", F.struct("n", "passage")).alias("twin"), F.max("n").alias("twin_n"), F.count(F.lit(1)).alias("variants"))
         both = p.join(best.where("variants > 1"), ["key", "skeleton"]).where(F.col("passage") != F.col("twin"))
+        both = both.select("passage", "twin", "n").unionByName(self._short_twins(short))
         words = lambda c: F.regexp_extract_all(F.col(c), F.lit(f"({_WORD})"), F.lit(1))
         zipped = F.explode(F.arrays_zip(words("passage").alias("a"), words("twin").alias("b"))).alias("w")
         w = both.select("n", zipped).select("n", "w.a", "w.b").where("a != b")
@@ -226,6 +278,31 @@ class Repair:
         w = w.where("a_docs != b_docs").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("garbled"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("clean"), "votes")
         return w.groupBy("garbled", "clean").agg(F.sum("votes").alias("votes"))
 
+    def _short_twins(self, short: DataFrame) -> DataFrame:
+        """passage, twin, n of passages with few ASCII characters: those that a chain turns into another, and those with lost characters.
+
+        n is the rarer passage's. Where the other is as much commoner as a
+        restored word has to be, it is no garbled form itself: that counts as LEAST_VOTES.
+        """
+        short = short.groupBy(F.regexp_replace("passage", "[0-9]++", "0").alias("passage")).agg(F.sum("n").alias("n"))
+        whole = short.where(~F.col("passage").contains(LOST))
+        shaped = whole.mapInPandas(_shapes, "passage string, n bigint, shape string")
+        groups = shaped.groupBy("shape").agg(F.collect_list(F.struct("passage", "n")).alias("group")).where(F.size("group") > 1)
+        single = groups.select("group").mapInPandas(_meet, "passage string, twin string, n bigint, twin_n bigint")
+        less, more = F.least("n", "twin_n"), F.greatest("n", "twin_n")
+        sure = (more >= LEAST_WORDS) & (more >= WORD_RATIO * less)
+        single = single.select("passage", "twin", F.when(sure, F.greatest(less, F.lit(LEAST_VOTES))).otherwise(less).cast("bigint").alias("n"))
+        # A UTF-8 chain changes the number of characters: what it is undone to is looked up.
+        forms = whole.mapInPandas(_proven_forms, "passage string, twin string, n bigint")
+        utf8 = forms.join(whole.select(F.col("passage").alias("twin")), "twin").select("passage", "twin", "n")
+        # With lost characters: as long, and equal in the others, of which there are as many as elsewhere.
+        key = F.regexp_replace("passage", r"[^\x00-\x7F]", "\x00").alias("key")
+        lost = short.where(F.col("passage").contains(LOST)).select("passage", "n", key)
+        near = lost.join(whole.select(F.col("passage").alias("twin"), key), "key")
+        kept = F.length(F.regexp_replace("passage", rf"[{LOST}\s]++", "")) >= LEAST_ASCII
+        same = F.forall(F.zip_with(F.split("passage", ""), F.split("twin", ""), lambda a, b: (a == b) | (a == LOST)), lambda x: x)
+        return single.unionByName(utf8).unionByName(near.where(kept & same).select("passage", "twin", "n"))
+
     def _infer(self) -> list[str]:
         whole = self.pairs.where(~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
         explained = whole.mapInPandas(_explained, "garbled string, clean string, votes bigint, explained string").where("explained != ''")
