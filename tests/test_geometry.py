@@ -142,3 +142,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert back["class"] == "1" and back["mean"] is None and back.metric == "pr" and len(out.columns) == 12
     ids = tables.dense_id(spark.range(1000).selectExpr("id * 7 % 1000 as k"), ["k"]).collect()
     assert all(r.k == r.token_id for r in ids)
+
+
+def test_points_over_all_embeddings(spark, sf):
+    from vecloom.operators import sampling
+    from vecloom.plans import reference
+
+    got = reference.metric_points(spark, sf).collect()
+    names = {"iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "gride", "mle", "mom", "tle", "corrint", "fishers", "ess", "mada"}
+    assert sorted(r.point_id for r in got) == list(range(200)) and {r.n for r in got} == {50} and set(got[0].asDict()) == {"point_id", "n", *names}
+    # 50 vectors in 64 dimensions are all separable: FisherS is undefined.
+    assert all(any(r[m] is not None for r in got) for m in names - {"fishers"})
+    s = sampling.subsamples(spark.range(3000), ["id"], 40, 50).collect()
+    assert len(s) == 2000 and len({(r.point_id, r.id) for r in s}) == 2000 and len({r.id for r in s}) > 1000

@@ -37,11 +37,16 @@ def pool(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
 
 
 def subsamples(pooled: DataFrame, ids: list[str], n_points: int, m: int, seed: int = 42) -> DataFrame:
-    """point_id and the rows of n_points samples of m rows without replacement, from a pool of bounded size."""
+    """point_id and the rows of n_points samples of m rows without replacement.
+
+    Every sample is thinned by hash to about twice its size before it is ranked, so the pool may be a whole table.
+    """
+    n = pooled.count()
     points = pooled.crossJoin(F.broadcast(pooled.sparkSession.range(n_points).select(F.col("id").cast("int").alias("point_id"))))
     u = unit_hash(seed, F.col("point_id"), *[F.col(f"`{c}`") for c in ids])
-    place = F.row_number().over(W.partitionBy("point_id").orderBy(u, *ids))
-    return points.withColumn("__place", place).where(F.col("__place") <= m).drop("__place")
+    points = points.withColumn("__u", u).where(F.col("__u") < (2 * m + 64) / max(n, 1))
+    place = F.row_number().over(W.partitionBy("point_id").orderBy("__u", *ids))
+    return points.withColumn("__place", place).where(F.col("__place") <= m).drop("__place", "__u")
 
 
 def bootstrap_indices(n: int, m: int, reps: int, seed: int = 42) -> list[np.ndarray]:

@@ -12,6 +12,7 @@ from vecloom.operators.rejects import classify_sentences, known_labels, separate
 from vecloom.session import settle
 from vecloom.sources import manifolds, tables
 
+POINT_METRICS = ["iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "gride", "mle", "mom", "tle", "corrint", "fishers", "ess", "mada"]
 FEATURES = ["pos", "index", "length", "head_dist", "relation_type", "arity"]
 
 
@@ -222,8 +223,8 @@ def bootstrap_ci_summary(spark, sf):
 
 
 def metric_points(spark, sf):
-    pool = sampling.pool(_embeddings(spark, sf), ["vec_id"], 500)
-    return metrics.points_table(sampling.subsamples(pool, ["vec_id"], 40, 50), "point_id", "vec_id", "embedding", ["iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "mle", "mom", "mada"])
+    e = _embeddings(spark, sf).where("embedding is not null")
+    return metrics.points_table(sampling.subsamples(e, ["vec_id"], 200, 50), "point_id", "vec_id", "embedding", POINT_METRICS)
 
 
 def metric_correlation(spark, sf):
