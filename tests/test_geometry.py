@@ -155,3 +155,12 @@ def test_points_over_all_embeddings(spark, sf):
     assert all(any(r[m] is not None for r in got) for m in names - {"fishers"})
     s = sampling.subsamples(spark.range(3000), ["id"], 40, 50).collect()
     assert len(s) == 2000 and len({(r.point_id, r.id) for r in s}) == 2000 and len({r.id for r in s}) > 1000
+
+
+def test_bootstrap_draws_as_many_as_there_are(spark):
+    from pyspark.sql import functions as F
+
+    K.register_metric("size", lambda x: float(len(x)))
+    got = metrics.bootstrap(spark.range(1200).select(F.lit("c").alias("cls"), F.lit(0).alias("layer"), "id", F.array(F.col("id").cast("double")).alias("v")), "cls", "layer", "id", "v", "size", reps=3).collect()
+    del K.METRICS["size"]
+    assert [(r["mean"], r.ci_low, r.ci_high, r.n_tokens) for r in got] == [(1200.0, 1200.0, 1200.0, 1200)]

@@ -17,6 +17,8 @@ from vecloom.operators.vectors import moments
 
 #: Vectors of a group that one kernel call takes at most, by cost.
 CAPS = {"fast": 100_000, "heavy": 5_000}
+#: Draws of a replicate at most, as in the reference, and vectors of a group that they are drawn from.
+DRAWS = {"fast": 184_870, "heavy": 5_000}
 
 
 def _fields(df: DataFrame, keys: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -84,14 +86,15 @@ def vector_agg(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: str, reps: int = 50, m: int = 1000, seed: int = 42, cap: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: str, reps: int = 50, m: int | None = None, seed: int = 42, cap: int | None = None) -> DataFrame:
     """cls, layer, metric, mean, ci_low, ci_high, n_tokens over replicates drawn with replacement.
 
+    A replicate has m draws, by default as many as the class has vectors up to the kernel's DRAWS.
     All layers of a class use the same draws: the vectors are taken in the
     order of their ids, and the draws depend on their number and the seed.
     Classes with fewer than 3 vectors are left out.
     """
-    cap = cap or CAPS[K.METRICS[metric][0]]
+    cap = cap or DRAWS[K.METRICS[metric][0]]
     out = _fields(df, [cls, layer], ("metric", T.StringType()), ("mean", T.DoubleType()), ("ci_low", T.DoubleType()), ("ci_high", T.DoubleType()), ("n_tokens", T.LongType()))
 
     kernel = K.METRICS[metric][1]
@@ -101,7 +104,7 @@ def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: s
             return pd.DataFrame(columns=out.names)
         pdf = pdf.sort_values("__id")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"]])
-        values = [evaluate(kernel, K.Cloud(x[i], seed))[0] for i in bootstrap_indices(len(x), min(m, len(x)), reps, seed)]
+        values = [evaluate(kernel, K.Cloud(x[i], seed))[0] for i in bootstrap_indices(len(x), min(m or len(x), len(x)), reps, seed)]
         v = np.array([np.nan if a is None else a for a in values])
         stats = (float(np.nanmean(v)), *map(float, np.nanpercentile(v, [2.5, 97.5]))) if np.isfinite(v).any() else (None, None, None)
         return pd.DataFrame([(pdf[cls].iloc[0], pdf[layer].iloc[0], metric, *stats, len(x))], columns=out.names)

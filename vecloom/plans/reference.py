@@ -214,7 +214,7 @@ def pca3d(spark, sf):
 
 def bootstrap_pr(spark, sf):
     e = _embeddings(spark, sf).withColumn("layer", F.lit(0))
-    return metrics.bootstrap(e, "label", "layer", "vec_id", "embedding", "pr", reps=50, m=500)
+    return metrics.bootstrap(e, "label", "layer", "vec_id", "embedding", "pr", reps=50)
 
 
 def bootstrap_ci_summary(spark, sf):
