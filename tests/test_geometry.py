@@ -164,3 +164,9 @@ def test_bootstrap_draws_as_many_as_there_are(spark):
     got = metrics.bootstrap(spark.range(1200).select(F.lit("c").alias("cls"), F.lit(0).alias("layer"), "id", F.array(F.col("id").cast("double")).alias("v")), "cls", "layer", "id", "v", "size", reps=3).collect()
     del K.METRICS["size"]
     assert [(r["mean"], r.ci_low, r.ci_high, r.n_tokens) for r in got] == [(1200.0, 1200.0, 1200.0, 1200)]
+
+
+def test_danco_beyond_32_dimensions():
+    x = np.random.default_rng(8).normal(size=(600, 48))
+    x *= np.random.default_rng(9).random((600, 1)) ** (1 / 48) / np.linalg.norm(x, axis=1, keepdims=True)
+    assert 38 <= K.danco(K.Cloud(x)) <= 48
