@@ -89,3 +89,16 @@ def test_confidence_leaves_nan_out(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "v double")
     r = sampling.confidence(df, [], "v").first()
     assert (round(r["mean"], 6), round(r.ci_low, 6), round(r.ci_high, 6)) == (round(7 / 3, 6), 1.05, 3.9)
+
+
+def test_explode_shortest_takes_every_readable_sentence(spark, sf):
+    from vecloom.operators import rejects
+    from vecloom.plans import reference
+
+    sentences = spark.read.parquet(f"{sf}/en_ewt_ud_train_sentences.parquet")
+    good = rejects.separate(rejects.classify_sentences(sentences, rejects.known_labels(spark.read.parquet(f"{sf}/relation_labels.parquet"), "relation_type"))).valid
+    want = tokens.expand_tokens(good, keep=["row_id"]).groupBy("row_id").count()
+    got = {r.row_id: r.n for r in reference.explode_shortest(spark, sf).collect()}
+    assert got == {r.row_id: r["count"] for r in want.collect()}
+    odd = {r.row_id for r in good.where("pos is not null and pos not like '[%]' and tokens like '[%]'").collect()}
+    assert odd & set(got)

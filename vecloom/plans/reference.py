@@ -114,8 +114,7 @@ def pos_x_head_dist(spark, sf):
 def explode_shortest(spark, sf):
     s = _read(spark, sf, "en_ewt_ud_train_sentences")
     good = separate(classify_sentences(s, known_labels(_read(spark, sf, "relation_labels"), "relation_type"))).valid
-    lists = good.where(" and ".join(f"`{c}` like '[%]'" for c in ("tokens", "pos", "index", "head_dist", "relation_type", "ariety")))
-    t = tokens.expand_tokens(lists.drop("sentence_id").withColumnRenamed("row_id", "sid"))
+    t = tokens.expand_tokens(good.drop("sentence_id").withColumnRenamed("row_id", "sid"))
     return t.groupBy(F.col("sentence_id").alias("row_id")).agg(F.count(F.lit(1)).alias("n"), F.max("word_id").alias("last"), F.sum("index").alias("index_sum"), F.sum("arity").alias("arity_sum"))
 
 
