@@ -170,3 +170,11 @@ def test_danco_beyond_32_dimensions():
     x = np.random.default_rng(8).normal(size=(600, 48))
     x *= np.random.default_rng(9).random((600, 1)) ** (1 / 48) / np.linalg.norm(x, axis=1, keepdims=True)
     assert 38 <= K.danco(K.Cloud(x)) <= 48
+
+
+def test_moment_metrics_take_whole_groups(spark):
+    x = np.random.default_rng(11).normal(size=(300, 6)) * [3, 2, 1, 1, 1, 1] + 1
+    got = {r.metric: r for r in metrics.vector_agg(_frame(spark, x), ["g"], "id", "v", [*K.MOMENT, "vmf_kappa", "twonn"], caps={"fast": 50, "heavy": 50}).collect()}
+    c = K.Cloud(x)
+    assert all(got[m].n == 300 and abs(got[m].value - K.METRICS[m][1](c)) < 1e-6 for m in (*K.MOMENT, "vmf_kappa"))
+    assert got["twonn"].n == 50

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from vecloom.operators import kernels as K
 from vecloom.operators.sampling import bootstrap_indices, cap_per_group
-from vecloom.operators.vectors import moments
+from vecloom.operators.vectors import moments, norm
 
 #: Vectors of a group that one kernel call takes at most, by cost.
 CAPS = {"fast": 100_000, "heavy": 5_000}
@@ -66,24 +67,48 @@ def _evaluator(keys: list[str], own: list[str], seed: int, names: list[str]) ->
     return run
 
 
+def _from_moments(df: DataFrame, keys: list[str], vec: str, own: list[str], out: T.StructType) -> DataFrame:
+    """Metrics of MOMENT, or that of DIRECTION where vec has unit vectors, over all vectors."""
+    registered = {m: (lambda c: K.concentration(float(np.linalg.norm(c.mean)), c.d) if c.n > 1 else math.nan) if m == K.DIRECTION else K.METRICS[m][1] for m in own}
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                c = K.Moments(int(r["n"]), np.asarray(r["sums"], dtype=float), np.asarray(r["scatter"], dtype=float))
+                for m, f in registered.items():
+                    value, error = evaluate(f, c)
+                    rows.append((*[r[k] for k in keys], m, value, c.n, error))
+            yield pd.DataFrame(rows, columns=out.names)
+
+    return moments(df, keys, vec).mapInPandas(run, out)
+
+
 def vector_agg(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list[str] | None = None, seed: int = 42, caps: dict[str, int] | None = None) -> DataFrame:
     """keys, metric, value, n, error: every metric of every group.
 
-    A group is first cut to the cap of its metrics' cost by a hash of the id,
-    and its vectors are taken in the order of the ids, so results do not depend
-    on the partitioning. Undefined values are null.
+    Metrics of moments take all vectors. For the others a group is first cut to
+    the cap of their cost by a hash of the id, and its vectors are taken in the
+    order of the ids, so results do not depend on the partitioning. n is the
+    number of vectors taken. Undefined values are null.
     """
     metrics = metrics or list(K.METRICS)
     caps = CAPS | (caps or {})
     out = _fields(df, keys, ("metric", T.StringType()), ("value", T.DoubleType()), ("n", T.LongType()), ("error", T.StringType()))
     parts = []
+    whole = [m for m in metrics if m in K.MOMENT]
+    if whole:
+        parts.append(_from_moments(df, keys, vec, whole, out))
+    if K.DIRECTION in metrics:
+        unit = F.transform(vec, lambda x: x.cast("double") / (norm(F.col(vec)) + 1e-9))
+        parts.append(_from_moments(df.select(*keys, unit.alias(vec)), keys, vec, [K.DIRECTION], out))
     for cost in ("fast", "heavy"):
-        own = [m for m in metrics if K.METRICS[m][0] == cost]
+        own = [m for m in metrics if K.METRICS[m][0] == cost and m not in whole and m != K.DIRECTION]
         if not own:
             continue
         slim = df.where(F.col(vec).isNotNull()).select(*keys, F.col(id_).alias("__id"), F.col(vec).alias("__v"))
         parts.append(cap_per_group(slim, keys, ["__id"], caps[cost], seed).groupBy(*keys).applyInPandas(_evaluator(keys, own, seed, out.names), out))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: str, reps: int = 50, m: int | None = None, seed: int = 42, cap: int | None = None) -> DataFrame:
