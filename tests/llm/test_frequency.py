@@ -63,3 +63,9 @@ def test_long_record_and_empty_table(spark):
     rows = [(1, i, f"w{i % 7}", None) for i in range(20_000)]
     assert _got(spark, rows, 2) == brute(rows, 2)
     assert _got(spark, [], 2) == {}
+
+
+def test_every_term_of_a_repeated_position_counts(spark):
+    rows = [(1, 0, w, None) for w in ("b", "a", "b", None)] + [(1, 1, "c", None), (2, 0, "b", None)]
+    terms = {("a", 1): (1, 1), ("b", 1): (2, 2), ("c", 1): (1, 1)}
+    assert _got(spark, rows, 1) == terms and _got(spark, rows, 2) == terms | {("a c", 2): (1, 1)}

@@ -26,15 +26,18 @@ _SEP = "\x1f"
 def suffixes(tokens: DataFrame, record: str, position: str, term: Column, longest: int) -> DataFrame:
     """record, t0..t{longest-1}: a row per position with a term.
 
-    A position that is repeated in its record counts once, with the smallest
-    of its terms; a null term ends the phrases before it.
+    A term that is repeated at its position counts once. Where a position has
+    several terms, each counts alone, and the smallest is the one of the
+    phrases; a null term ends the phrases before it.
     """
     rows = tokens.select(F.col(f"`{record}`").alias("record"), F.col(f"`{position}`").alias("at"), term.alias("t0"))
-    # Sent by record once: the grouping and the window below both find their rows together.
-    rows = rows.where(F.col("record").isNotNull()).repartition("record").groupBy("record", "at").agg(F.min("t0").alias("t0"))
+    # Sent by record once: the grouping and the windows below all find their rows together.
+    rows = rows.where(F.col("record").isNotNull()).repartition("record").dropDuplicates(["record", "at", "t0"])
     if longest > 1:
-        w = W.partitionBy("record").orderBy(F.col("at").asc_nulls_last())
-        rows = rows.withColumns({f"t{k}": F.lead("t0", k).over(w) for k in range(1, longest)})
+        place = F.row_number().over(W.partitionBy("record", "at").orderBy(F.col("t0").asc_nulls_last()))
+        w = W.partitionBy("record", "more").orderBy(F.col("at").asc_nulls_last())
+        rows = rows.withColumn("more", place > 1)
+        rows = rows.withColumns({f"t{k}": F.when(~F.col("more"), F.lead("t0", k).over(w)) for k in range(1, longest)})
         for k in range(1, longest):
             rows = rows.withColumn(f"t{k}", F.when(F.col(f"t{k - 1}").isNotNull(), F.col(f"t{k}")))
     return rows.where(F.col("t0").isNotNull()).select("record", *[f"t{k}" for k in range(longest)])
