@@ -39,6 +39,40 @@ def test_clean_text_is_not_undone():
     assert M.undo("DÃ©jÃ", "utf-8>cp1252") == "Déjà"  # the no-break space became a blank
 
 
+def test_code_pages_are_strict():
+    # cp437 has no Ã; a byte that cp1252 leaves undefined stands for itself.
+    assert M.undo("AndrÃ©", "utf-8>cp437") is None and M.undo("AndrÃ©", "utf-8>cp1252") == "André"
+    assert M.undo("\x9d", "cp1250>cp1252") == "ť"
+
+
+def test_strength():
+    assert M.completed("Ã", "utf-8>cp1252") and not M.completed("Ã©", "utf-8>cp1252")
+    assert [M._strength(w, c) for w, c in (("Ð", "utf-8>cp1252"), ("Ã©", "utf-8>cp1252"), ("Ä0", "cp1252>mac_roman"), ("cafÈ", "cp1252>mac_roman"), ("\x800", "cp1252>latin-1"))] == [0, 2, 1, 2, 2]
+
+
+def test_meant_signs_stay(spark):
+    # A sign that a learned chain could undo to a word of the collection is no case by itself.
+    rows = [(i, f"Case {i}: the signs Ð and ≈ are meant.") for i in range(60)] + [(100, "Где Р?"), (101, "le Š")]
+    rows += [(200 + i, t) for i, t in enumerate(SENTENCES * 8)] + [(300, garble(SENTENCES[1], "utf-8>cp1252")), (301, garble(SENTENCES[2], "utf-8>mac_roman"))]
+    repair = M.Repair(spark.createDataFrame([(i, t, "") for i, t in rows], DOCS))
+    assert {"utf-8>cp1252", "utf-8>mac_roman"} <= set(repair.learned)
+    assert {r.doc_id for r in repair.found().collect()} == {300, 301}
+
+
+def test_learned_where_all_variants_are_equally_common(spark):
+    rows = [(1, SENTENCES[1]), (2, garble(SENTENCES[1], "utf-8>cp437")), (3, "Der Saal hat zwei Stühle für mich."), (4, garble(SENTENCES[1], "utf-8>cp1252"))]
+    repair = M.Repair(spark.createDataFrame([(i, t, "") for i, t in rows], DOCS))
+    assert {r.doc_id for r in repair.found().collect()} == {2, 4}
+    assert {r.restored for r in repair.restored().collect()} == {SENTENCES[1]}
+
+
+def test_many_garbled_words(spark, collection, monkeypatch):
+    docs, truth = collection
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    repair = M.Repair(spark.createDataFrame([(i, t, "clash") for i, t in docs], DOCS))
+    assert {r.doc_id for r in repair.found().collect()} - {3000} == set(truth)
+
+
 @pytest.fixture(scope="module")
 def collection():
     rng = random.Random(7)

@@ -36,6 +36,8 @@ LEAST_PAIRS, LEAST_VOTES = 3, 2
 MOST_SETS = 100_000
 #: How much commoner the restored word must be where its bytes alone prove nothing, and the surroundings likewise.
 WORD_RATIO, LEAST_WORDS, CONTEXT_RATIO, LEAST_CONTEXTS = 5, 5, 20, 20
+#: How much commoner the restored form of a word too short to judge must be, to find a document by it alone.
+WEAK_RATIO = 100
 BROADCAST_ROWS, SALTS = 200_000, 16
 
 _BREAK = r"\n+|(?<=[.!?])\s+"
@@ -48,16 +50,14 @@ _DIGITS = re.compile(r"[0-9]+")
 
 @lru_cache(maxsize=64)
 def _code_page(name: str) -> tuple[dict[str, int], list[str]]:
-    """Character to byte and byte to character; a byte without character stands for itself."""
+    """Character to byte and byte to character; a byte that the page leaves undefined stands for itself."""
     chars = []
     for b in range(256):
         try:
             chars.append(bytes([b]).decode(name))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    codes = {chr(b): b for b in range(256)}
-    codes |= {c: b for b, c in enumerate(chars)}
-    return codes, chars
+    return {c: b for b, c in enumerate(chars)}, chars
 
 
 def _encode(text: str, name: str) -> bytes | None:
@@ -100,14 +100,27 @@ def chains() -> list[str]:
     return out + [f"{s}>{r}" for s in SINGLE_BYTE for r in SINGLE_BYTE if s != r]
 
 
-#: Chains whose result checks itself.
+#: Chains whose result checks itself, and those that leave control characters, which no text is meant to have.
 PROVEN = frozenset(c for c in chains() if c.startswith("utf-8>"))
+CONTROL = frozenset(f"{s}>latin-1" for s in SINGLE_BYTE if not s.startswith(("iso", "latin")))
+
+
+def completed(word: str, chain: str) -> bool:
+    """Whether undo() had to add a last byte to the word."""
+    read, _, times = chain.partition(">")[2].partition("*")
+    for _ in range(int(times or 1)):
+        try:
+            word = (_encode(word, read) or b"").decode("utf-8")
+        except UnicodeDecodeError:
+            return True
+    return False
 
 
 def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = chains()
+    """The chains that turn garbled into clean. Where neither is the commoner word, only those that prove themselves."""
+    known, proven = chains(), [c for c in chains() if c in PROVEN]
     for pdf in batches:
-        sets = ["|".join(c for c in known if undo(g, c) == t) for g, t in zip(pdf.garbled, pdf.clean, strict=True)]
+        sets = ["|".join(c for c in (proven if tied else known) if undo(g, c) == t) for g, t, tied in zip(pdf.garbled, pdf.clean, pdf.tied, strict=True)]
         yield pdf[["garbled", "clean", "votes"]].assign(explained=sets)
 
 
@@ -201,6 +214,17 @@ def _word_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["context", "n_docs"])
 
 
+def _control(word: str) -> bool:
+    return any("\x80" <= ch < "\xa0" for ch in word)
+
+
+def _strength(word: str, chain: str) -> int:
+    """2 where the word can be judged by itself, 1 for a sign or two of a single-byte chain, 0 where its only sign had a byte added."""
+    if chain in PROVEN:
+        return 0 if sum(ch > "\x7f" for ch in word) == 1 and completed(word, chain) else 2
+    return 2 if _control(word) or len(word.replace("0", "")) > 2 else 1
+
+
 def _tries(learned: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -215,17 +239,17 @@ def _tries(learned: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
                         pairs = []
                     else:
                         pairs = [(_key(a), _key(b)) for a, b in zip(_contexts(w), _contexts(r), strict=True) if a != b]
-                    rows.append((w, n, c, r, _plain(r), pairs))
+                    rows.append((w, n, c, r, _plain(r), _strength(w, c), c in PROVEN or (c in CONTROL and _control(w)), pairs))
             if not rows:
                 continue
-            out = pd.DataFrame(rows, columns=["word", "n_docs", "chain", "restored", "plain", "pairs"])
+            out = pd.DataFrame(rows, columns=["word", "n_docs", "chain", "restored", "plain", "strength", "proven", "pairs"])
             out["pairs"] = [[{"before": a, "after": b} for a, b in p] for p in out["pairs"]]
             yield out
 
     return run
 
 
-_TRIED = "word string, n_docs bigint, chain string, restored string, plain string, pairs array<struct<before:string,after:string>>"
+_TRIED = "word string, n_docs bigint, chain string, restored string, plain string, strength int, proven boolean, pairs array<struct<before:string,after:string>>"
 
 
 def _words(text):
@@ -247,13 +271,18 @@ class Repair:
     def __init__(self, docs: DataFrame):
         self.docs = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text")
         self.spark = docs.sparkSession
-        self.word_counts = settle(self.docs.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")))
+        # The words of every document, made once: counted here, and looked up when the garbled ones are known.
+        self.doc_words = settle(self.docs.select("doc_id", _words(F.col("text")).alias("words"), F.col("text").contains(LOST).alias("lost")))
+        self.word_counts = settle(self.doc_words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")))
         self.pairs = settle(self._twins())
         self.learned = self._infer()
         self.words = settle(self._garbled_words())
 
     def _twins(self) -> DataFrame:
-        """garbled, clean, votes: aligned words of passages that are equal but for their non-ASCII characters."""
+        """garbled, clean, tied, votes: aligned words of passages that are equal but for their non-ASCII characters.
+
+        The commoner word is the clean one; equally common words are tied, and come both ways.
+        """
         passage = F.explode(F.split("text", _BREAK)).alias("passage")
         p = self.docs.select(passage).where(F.col("passage").rlike(r"[^\x00-\x7F]"))
         p = p.groupBy("passage").agg(F.count(F.lit(1)).alias("n"))  # combined before the shuffle
@@ -262,21 +291,25 @@ class Repair:
         p = settle(p.withColumn("short", F.length(F.regexp_replace("skeleton", r"[\x00\s]++", "")) < LEAST_ASCII))
         short = p.where("short").select("passage", "n")
         p = p.where("not short").select(F.xxhash64("skeleton").alias("key"), "skeleton", "passage", "n")
-        # One representative per skeleton, not all pairs: its commonest passage, which is the clean one unless it ties.
-        best = p.groupBy("key", "skeleton").agg(F.max_by("passage", F.struct("n", "passage")).alias("twin"), F.max("n").alias("twin_n"), F.count(F.lit(1)).alias("variants"))
-        both = p.join(best.where("variants > 1"), ["key", "skeleton"]).where(F.col("passage") != F.col("twin"))
+        # Two representatives per skeleton, not all pairs: the commonest passage, and the plainest, as garbling makes text longer
+        # and brings in signs. Where all are equally common, the second is the clean one of those garbled through UTF-8.
+        odd, long_ = F.length(F.regexp_replace("passage", r"[\p{L}\p{N}\p{P}\p{Z}]++", "")), F.length("passage")
+        commonest = F.max_by("passage", F.struct("n", -odd, -long_, "passage"))
+        plainest = F.min_by("passage", F.struct(odd, long_, -F.col("n"), "passage"))
+        best = p.groupBy("key", "skeleton").agg(F.array_distinct(F.array(commonest, plainest)).alias("twins"), F.count(F.lit(1)).alias("variants"))
+        both = p.join(best.where("variants > 1"), ["key", "skeleton"]).withColumn("twin", F.explode("twins")).where(F.col("passage") != F.col("twin"))
         both = both.select("passage", "twin", "n").unionByName(self._short_twins(short))
         words = lambda c: F.regexp_extract_all(F.col(c), F.lit(f"({_WORD})"), F.lit(1))
         zipped = F.explode(F.arrays_zip(words("passage").alias("a"), words("twin").alias("b"))).alias("w")
         w = both.select("n", zipped).select("n", "w.a", "w.b").where("a != b")
         w = w.select("n", F.regexp_replace("a", "[0-9]++", "0").alias("a"), F.regexp_replace("b", "[0-9]++", "0").alias("b"))
         w = w.groupBy("a", "b").agg(F.sum("n").alias("votes"))
-        # The commoner word of the collection is the clean one.
         counts = self.word_counts
         w = w.join(counts.select(F.col("word").alias("a"), F.col("n_docs").alias("a_docs")), "a").join(counts.select(F.col("word").alias("b"), F.col("n_docs").alias("b_docs")), "b")
-        swap = F.col("a_docs") > F.col("b_docs")
-        w = w.where("a_docs != b_docs").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("garbled"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("clean"), "votes")
-        return w.groupBy("garbled", "clean").agg(F.sum("votes").alias("votes"))
+        way = lambda a, b: F.struct(F.col(a).alias("garbled"), F.col(b).alias("clean"))
+        ways = F.when(F.col("a_docs") > F.col("b_docs"), F.array(way("b", "a"))).when(F.col("a_docs") < F.col("b_docs"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+        w = w.select("votes", (F.col("a_docs") == F.col("b_docs")).alias("tied"), F.explode(ways).alias("way")).select("way.*", "votes", "tied")
+        return w.groupBy("garbled", "clean", "tied").agg(F.sum("votes").alias("votes"))
 
     def _short_twins(self, short: DataFrame) -> DataFrame:
         """passage, twin, n of passages with few ASCII characters: those that a chain turns into another, and those with lost characters.
@@ -311,6 +344,7 @@ class Repair:
         if len(sets) > MOST_SETS:
             raise ValueError(f"more than {MOST_SETS} explanation sets")
         # Bytes that decode as UTF-8 prove themselves: one pair is enough.
+        self.hinted = sorted({c for r in sets for c in r.explained.split("|")})
         sure = best_chains([("|".join(c for c in r.explained.split("|") if c in PROVEN), r.n) for r in sets], 1)
         rest = [(r.explained, r.firm) for r in sets if not set(r.explained.split("|")) & set(sure)]
         return sure + best_chains(rest, LEAST_PAIRS)
@@ -318,9 +352,12 @@ class Repair:
     def _garbled_words(self) -> DataFrame:
         """word, chain, restored: by a learned chain whose result the collection confirms, else by the twins."""
         counts = self.word_counts
-        contexts = settle(counts.mapInPandas(_word_contexts, "context string, n_docs bigint").groupBy("context").agg(F.sum("n_docs").alias("n")))
-        tried = settle(counts.where(~F.col("word").contains(LOST)).mapInPandas(_tries(self.learned), _TRIED).withColumn("id", F.monotonically_increasing_id()))
         by_word = counts.select(F.col("word").alias("plain"), F.col("n_docs").alias("plain_docs"))
+        contexts = settle(counts.mapInPandas(_word_contexts, "context string, n_docs bigint").groupBy("context").agg(F.sum("n_docs").alias("n")))
+        wanted = [c for c in chains() if c in PROVEN or c in CONTROL or c in self.learned or c in self.hinted]
+        tried = settle(counts.where(~F.col("word").contains(LOST)).mapInPandas(_tries(wanted), _TRIED).withColumn("id", F.monotonically_increasing_id()))
+        self.learned += self._by_words(tried, by_word)
+        tried = tried.where(F.col("chain").isin(self.learned))
         t = tried.join(by_word, "plain", "left").withColumn("plain_docs", F.coalesce("plain_docs", F.lit(0).cast("bigint")))
         # Contexts: the rarest of the restored word, and the least gain over the garbled one's.
         c = tried.select("id", F.explode("pairs").alias("p")).select("id", "p.*")
@@ -328,20 +365,39 @@ class Repair:
         c = c.join(contexts.select(F.col("context").alias("after"), F.col("n").alias("after_n")), "after", "left")
         c = c.groupBy("id").agg(F.min(F.coalesce("after_n", F.lit(0))).alias("after_n"), F.min(F.coalesce("after_n", F.lit(0)) / F.greatest(F.coalesce("before_n", F.lit(0)), F.lit(1))).alias("gain"))
         t = t.join(c, "id", "left").fillna({"after_n": 0, "gain": 0.0})
-        proven = F.col("chain").startswith("utf-8>")  # text that isn't UTF-8 read wrongly hardly ever decodes as UTF-8
+        proven = F.col("proven")  # text that isn't UTF-8 read wrongly hardly ever decodes as UTF-8
         seen = F.when(proven, F.col("plain_docs") >= 1).otherwise(F.col("plain_docs") >= F.greatest(F.lit(LEAST_WORDS), WORD_RATIO * F.col("n_docs")))
+        # A sign or two, or a word whose last byte was added, are judged by the words around them unless the count is overwhelming.
+        overwhelming = F.col("plain_docs") >= F.greatest(F.lit(LEAST_WORDS), WEAK_RATIO * F.col("n_docs"))
+        strength = F.when(overwhelming, 2).otherwise(F.col("strength"))
         around = F.when(proven, F.col("after_n") >= LEAST_CONTEXTS).otherwise((F.col("after_n") >= LEAST_CONTEXTS) & (F.col("gain") >= CONTEXT_RATIO))
-        ok = t.where(seen | around)
+        ok = t.where(seen | around).withColumn("strength", strength)
         rank = F.struct(F.col("plain_docs"), F.col("after_n"), F.col("chain"))
-        by_chain = ok.groupBy("word").agg(F.max_by(F.struct("chain", "restored"), rank).alias("x")).select("word", "x.chain", "x.restored")
+        by_chain = ok.groupBy("word").agg(F.max_by(F.struct("chain", "restored", "strength"), rank).alias("x")).select("word", "x.chain", "x.restored", "x.strength")
         lost = self.pairs.where(F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
-        lost = lost.groupBy(F.col("garbled").alias("word")).agg(F.max_by("clean", F.struct("votes", "clean")).alias("restored"), F.count(F.lit(1)).alias("ways"))
-        lost = lost.where("ways = 1").select("word", F.lit("twin").alias("chain"), "restored")
+        lost = lost.groupBy(F.col("garbled").alias("word")).agg(F.max("clean").alias("restored"), F.count_distinct("clean").alias("ways"))
+        lost = lost.where("ways = 1").select("word", F.lit("twin").alias("chain"), "restored", F.lit(2).alias("strength"))
         return by_chain.unionByName(lost)
 
-    def _hits(self, columns: list[str]) -> DataFrame:
-        """doc_id (and text) with each garbled word of the document: word, chain, restored. Documents without have no row."""
-        long = self.docs.select(*columns, F.explode(_words(F.col("text"))).alias("word"))
+    def _by_words(self, tried: DataFrame, by_word: DataFrame) -> list[str]:
+        """Chains not yet learned that turn different words into words of the collection: its words are twins, too.
+
+        LEAST_VOTES words do for a UTF-8 chain, LEAST_PAIRS for others. A chain
+        that does not prove itself needs a pair of twins besides, and words
+        that are as much commoner as restored ones have to be.
+        """
+        t = tried.where(F.col("strength") == 2).join(by_word, "plain")
+        commoner = F.col("plain_docs") >= F.greatest(F.lit(LEAST_WORDS), WORD_RATIO * F.col("n_docs"))
+        t = t.where(F.col("proven") | (commoner & F.col("chain").isin(self.hinted)))
+        sets = t.groupBy("word", "plain").agg(F.array_join(F.array_sort(F.collect_set("chain")), "|").alias("explained"))
+        found = [(r.explained, r.n) for r in sets.groupBy("explained").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "explained").limit(MOST_SETS).collect()]
+        found = [(frozenset(e.split("|")), n) for e, n in found]
+        more = best_chains([("|".join(e & PROVEN), n) for e, n in found if not e & set(self.learned)], LEAST_VOTES)
+        return more + best_chains([("|".join(e - PROVEN), n) for e, n in found if not e & {*self.learned, *more}], LEAST_PAIRS)
+
+    def _hits(self) -> DataFrame:
+        """doc_id with each garbled word of the document: word, chain, restored, strength. Documents without have no row."""
+        long = self.doc_words.select("doc_id", F.explode("words").alias("word"))
         n = self.words.count()
         if n <= BROADCAST_ROWS:
             return long.join(F.broadcast(self.words), "word")
@@ -350,14 +406,19 @@ class Repair:
         return long.join(salted, ["word", "__salt"]).drop("__salt")
 
     def found(self) -> DataFrame:
-        by_word = self._hits(["doc_id"]).select("doc_id")
-        lost = self.docs.where(F.col("text").contains(LOST)).select("doc_id")
-        return by_word.unionByName(lost).distinct()
+        # Found by a word of its own strength, or by two different short ones of one chain.
+        by_chain = self._hits().groupBy("doc_id", "chain").agg(F.max("strength").alias("best"), F.count_distinct(F.when(F.col("strength") > 0, F.col("word"))).alias("n"))
+        by_word = by_chain.where("best = 2 or n > 1").select("doc_id")
+        return by_word.unionByName(self.doc_words.where("lost").select("doc_id")).distinct()
 
     def restored(self) -> DataFrame:
         """doc_id, restored (the text with every garbled word restored that can be), n_restored, n_lost (replacement characters left)."""
-        fixes = self._hits(["doc_id"]).select("doc_id", F.struct("word", "chain", "restored").alias("fix")).groupBy("doc_id").agg(F.collect_set("fix").alias("fixes"))
-        lost = self.docs.where(F.col("text").contains(LOST)).select("doc_id").distinct()
+        fix = F.struct("word", "chain", "restored", "strength")
+        fixes = self._hits().select("doc_id", fix.alias("fix")).groupBy("doc_id").agg(F.collect_set("fix").alias("fixes"))
+        # Words too short to judge are restored where the document has others of their chain, as in found().
+        others = lambda x: F.filter("fixes", lambda y: (y["chain"] == x["chain"]) & ((y["strength"] == 2) | ((y["strength"] > 0) & (y["word"] != x["word"]) & (x["strength"] > 0))))
+        fixes = fixes.select("doc_id", F.filter("fixes", lambda x: (x["strength"] == 2) | (F.size(others(x)) > 0)).alias("fixes")).where(F.size("fixes") > 0)
+        lost = self.doc_words.where("lost").select("doc_id").distinct()
         wanted = fixes.join(lost, "doc_id", "full")
         out = "doc_id bigint, restored string, n_restored bigint, n_lost bigint"
         return self.docs.join(wanted, "doc_id").select("doc_id", "text", "fixes").mapInPandas(_restore, out)
