@@ -3,21 +3,29 @@
 Karmarkar-Karp multiway differencing: every item is a partial partition into k
 windows with one filled; the two partial partitions of the largest imbalance
 are merged, the fullest windows of one against the emptiest of the other, until
-one near-equal partition is left. The window count starts at the least that
-could do and rises while a window exceeds the capacity.
+one near-equal partition is left. Where a window exceeds the capacity, the
+windows that are full enough, or become so by one exchange, are kept, and the
+items of the others are differenced again; the window count rises in the end.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from heapq import heapify, heappop, heappush
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import settle
+
 #: Windows that one block of items shall fill about. Blocks are packed apart, so this bounds a task's work.
-BLOCK_WINDOWS = 64
-MOST_SPECS = 10_000
+BLOCK_WINDOWS, BLOCK_ITEMS = 128, 20_000
+#: Specs that one plan takes; more of them are done in turn.
+SPECS_AT_ONCE = 500
+#: How full a window has to be to be kept in the first round, the second and so on.
+FULL_ENOUGH = (0.998, 0.995, 0.99, 0.98, 0.96)
 
 
 def size_in_tokens(text: Column) -> Column:
@@ -59,10 +67,9 @@ def difference(sizes: list[int], k: int) -> tuple[list[int], int]:
     return place, windows[0][0]
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """The window of every item, none over capacity; items above the capacity must have been cut before."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity), sum(2 * s > capacity for s in sizes))
+def _rising(sizes: list[int], capacity: int) -> list[int]:
+    """The window of every item; the window count rises until none is over capacity."""
+    k = max(1, -(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
     while True:
         place, most = difference(sizes, k)
         if most <= capacity:
@@ -74,11 +81,66 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
         k += max(1, over // capacity)
 
 
-_OUT = "spec_id string, capacity_tokens bigint, block bigint, doc_id bigint, piece_no bigint, n_pieces bigint, start_token bigint, n_tokens bigint, window bigint"
+def pack(sizes: list[int], capacity: int) -> list[int]:
+    """The window of every item, none over capacity; items above the capacity must have been cut before."""
+    left, place, used = list(range(len(sizes))), [0] * len(sizes), 0
+    for enough in FULL_ENOUGH:
+        own = [sizes[i] for i in left]
+        k = max(1, -(-sum(own) // capacity), sum(2 * s > capacity for s in own))
+        at, most = difference(own, k)
+        if most <= capacity:
+            break
+        kept = _keep_full(dict(zip(left, at, strict=True)), sizes, k, capacity, enough * capacity)
+        for n, window in enumerate(kept):
+            for i in window:
+                place[i] = used + n
+        used += len(kept)
+        done = {i for window in kept for i in window}
+        left = [i for i in left if i not in done]
+    for i, w in zip(left, _rising([sizes[i] for i in left], capacity), strict=True):
+        place[i] = used + w
+    return place
+
+
+def _keep_full(at: dict[int, int], sizes: list[int], k: int, capacity: int, least: float) -> list[list[int]]:
+    """The windows that hold at least `least` and at most the capacity, as they are or after one exchange with another window."""
+    windows: list[list[int]] = [[] for _ in range(k)]
+    for i, w in at.items():
+        windows[w].append(i)
+    pool, kept = sorted((sizes[i], i) for i in at), []
+    for w in range(k):
+        own = windows[w]
+        total = sum(sizes[i] for i in own)
+        best, out, into = (total if total <= capacity else -1), None, None
+        if best < least:
+            for a in (None, *{sizes[i]: i for i in own}.values()):
+                base = total - (0 if a is None else sizes[a])
+                j = bisect_right(pool, (capacity - base, len(sizes))) - 1
+                while j >= 0 and at[pool[j][1]] == w:
+                    j -= 1
+                if j >= 0 and base + pool[j][0] > best:
+                    best, out, into = base + pool[j][0], a, pool[j][1]
+        if best < least:
+            continue
+        if into is not None:
+            windows[at[into]].remove(into)
+            own = [i for i in own if i != out] + [into]
+            if out is not None:
+                windows[at[into]].append(out)
+                at[out] = at[into]
+        for i in own:
+            pool.pop(bisect_left(pool, (sizes[i], i)))
+            at[i] = -1
+        windows[w] = []
+        kept.append(own)
+    return kept
+
+
+_OUT = "spec_no int, spec_id string, capacity_tokens bigint, block bigint, item bigint, doc_id bigint, piece_no bigint, n_pieces bigint, start_token bigint, n_tokens bigint, window bigint"
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable")
+    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no", "item"], ascending=[False, True, True, True], kind="stable")
     pdf["window"] = pack(pdf.n_tokens.tolist(), int(pdf.capacity_tokens.iloc[0]))
     return pdf[[c.split(" ")[0] for c in _OUT.split(", ")]]
 
@@ -86,42 +148,55 @@ def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
 def fill_containers(docs: DataFrame, specs: DataFrame, seed: int = 42) -> DataFrame:
     """Every document in containers of every spec.
 
-    docs: doc_id, text; specs: spec_id, capacity_tokens (at most MOST_SPECS
-    rows). Returns spec_id, capacity_tokens, container_id, doc_id, piece_no
-    (from 1), n_pieces, start_token, n_tokens. A document is whole (n_pieces 1)
-    unless it exceeds the capacity; then its full pieces fill a container each
-    and the last piece is an item like others. Null and empty texts are items
-    of size 0. Rows that repeat a doc_id are items of their own. A null or
-    non-positive capacity gives no rows. Empty inputs give empty results.
-
-    Items are assigned to blocks by a hash and a block is packed by one call; a
-    block holds about BLOCK_WINDOWS windows however many documents there are.
+    docs: doc_id, text; specs: spec_id, capacity_tokens, a table that the
+    driver can hold. Returns spec_id, capacity_tokens, container_id, item,
+    doc_id, piece_no (from 1), n_pieces, start_token, n_tokens; item is a
+    number of the input row. A document is whole (n_pieces 1) unless it exceeds
+    the capacity; then its full pieces fill a container each and the last piece
+    is an item like others. Null and empty texts are items of size 0. Rows that
+    repeat a doc_id are items of their own. A null or non-positive capacity
+    gives no rows. Empty inputs give empty results.
+
+    Texts are read once, for their sizes. Items are assigned to blocks by a
+    hash and a block is packed by one call; a block holds about BLOCK_WINDOWS
+    windows however many documents there are.
     """
-    spec_rows = specs.where(F.col("capacity_tokens") > 0).select("spec_id", F.col("capacity_tokens").cast("bigint")).limit(MOST_SPECS + 1).collect()
-    if len(spec_rows) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specs")
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", size_in_tokens(F.col("text")).alias("size"))
-    n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # Blocks by size, and by number where most documents are tiny.
-    plan = [(r.spec_id, r.capacity_tokens, max(1, total // (r.capacity_tokens * BLOCK_WINDOWS), n // 20_000)) for r in spec_rows]
-    plan = F.broadcast(spark.createDataFrame(plan, "spec_id string, capacity_tokens bigint, n_blocks bigint"))
+    rows = specs.where(F.col("capacity_tokens") > 0).select("spec_id", F.col("capacity_tokens").cast("bigint")).collect()
+    sized = settle(docs.select(F.monotonically_increasing_id().alias("item"), "doc_id", size_in_tokens(F.col("text")).alias("size")))
+    parts = [_fill(sized, list(some), seed) for some in batched(list(enumerate(rows)), SPECS_AT_ONCE)] or [_fill(sized.limit(0), [(0, ("", 1))], seed)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _fill(sized: DataFrame, specs: list[tuple[int, tuple[str, int]]], seed: int) -> DataFrame:
+    def with_specs(plan: list[tuple]) -> DataFrame:
+        names = ("spec_no", "spec_id", "capacity_tokens", "n_blocks")
+        kinds = ("int", "string", "bigint", "bigint")
+        one = [F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(r, kinds, names, strict=True)]) for r in plan]
+        return sized.select("*", F.explode(F.array(*one)).alias("s")).select(*sized.columns, "s.*")
+
     cap = F.col("capacity_tokens")
+    rest = F.when(F.col("size") > cap, F.col("size") % cap).otherwise(F.when(F.col("size") < cap, F.col("size")).otherwise(0))
+    # Blocks by what is packed, without full pieces, and by number where most documents are tiny.
+    load = with_specs([(no, *spec, 1) for no, spec in specs]).groupBy("spec_no").agg(F.sum(rest).alias("packed"), F.count(F.lit(1)).alias("n"))
+    load = {r.spec_no: r for r in load.collect()}  # a row a spec
+    plan = [(no, *spec, max(1, load[no].packed // (spec[1] * BLOCK_WINDOWS), load[no].n // BLOCK_ITEMS) if no in load else 1) for no, spec in specs]
     pieces = F.greatest(F.ceil(F.col("size") / cap), F.lit(1)).cast("bigint")
-    items = sized.crossJoin(plan).withColumn("n_pieces", pieces)  # each document once a spec, a bounded number
+    items = with_specs(plan).withColumn("n_pieces", pieces)
     items = items.withColumn("piece_no", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_pieces")))
     items = items.withColumns({
         "start_token": (F.col("piece_no") - 1) * cap,
         "n_tokens": F.least(cap, F.col("size") - (F.col("piece_no") - 1) * cap),
-        "block": F.pmod(F.xxhash64(F.lit(seed), "spec_id", "doc_id", F.when(F.col("doc_id").isNull(), F.col("size"))), F.col("n_blocks")),
+        "block": F.pmod(F.xxhash64(F.lit(seed), "spec_id", "item"), F.col("n_blocks")),
     }).drop("size", "n_blocks")
-    full = (F.col("n_pieces") > 1) & (F.col("n_tokens") == cap)
-    packed = items.where(~full).groupBy("spec_id", "block").applyInPandas(_pack_block, _OUT)
+    full = F.col("n_tokens") == cap
+    packed = items.where(~full).groupBy("spec_no", "block").applyInPandas(_pack_block, _OUT)
     whole = items.where(full).withColumn("window", F.lit(None).cast("bigint")).select(*packed.columns)
-    both = packed.unionByName(whole)
     name = F.when(F.col("window").isNotNull(), F.concat_ws("-", "spec_id", F.lit("b"), "block", "window"))
-    name = name.otherwise(F.concat_ws("-", "spec_id", F.lit("d"), "doc_id", "piece_no")).alias("container_id")
-    return both.select("spec_id", "capacity_tokens", name, "doc_id", "piece_no", "n_pieces", "start_token", "n_tokens")
+    name = name.otherwise(F.concat_ws("-", "spec_id", F.lit("i"), "item", "piece_no")).alias("container_id")
+    return packed.unionByName(whole).select("spec_id", "capacity_tokens", name, "item", "doc_id", "piece_no", "n_pieces", "start_token", "n_tokens")
 
 
 def fill_report(filled: DataFrame) -> DataFrame:
@@ -132,5 +207,6 @@ def fill_report(filled: DataFrame) -> DataFrame:
 
 
 def split_documents(filled: DataFrame) -> DataFrame:
-    """spec_id, doc_id of the documents that had to be split."""
-    return filled.where((F.col("n_pieces") > 1) & (F.col("piece_no") == 1)).select("spec_id", "doc_id")
+    """spec_id, doc_id of the documents that ended in more than one container. One with a single piece is in one."""
+    many = filled.where(F.col("n_pieces") > 1).groupBy("spec_id", "item", "doc_id").agg(F.count_distinct("container_id").alias("n"))
+    return many.where("n > 1").select("spec_id", "doc_id")
