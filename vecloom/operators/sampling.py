@@ -2,32 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.session import settle
+
 
 def unit_hash(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) that looks random and depends on the values and the seed only."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)) / float(1 << 53)
 
 
-def cap_per_group(df: DataFrame, keys: list[str], ids: list[str], cap: int, seed: int = 42) -> DataFrame:
-    """At most `cap` rows of every group, the same ones at any partitioning.
-
-    A group is thinned by hash to about twice the cap before it is ranked, so
-    no task sorts a whole group. Null keys form a group.
+#: Rows that one bucket of hashes shall hold about, and the most buckets of a group.
+BUCKET_ROWS, MOST_BUCKETS = 20_000, 1 << 20
+
+
+def _up_to_quota(rows: DataFrame, group: list[str], level: str) -> tuple[DataFrame, DataFrame]:
+    """rows split by the ordered column `level`: those at values that fit the group's __quota whole, and those at
+    the value where it is reached, with what is left of it. Only counts are shuffled."""
+    at = [*group, level]
+    n = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), F.first("__quota").alias("__all"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy(level).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    n = n.withColumn("__before", before).where(F.col("__before") < F.col("__all"))
+    n = n.select(*[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(at)], (F.col("__all") - F.col("__before")).alias("__left"), "__n")
+    cond = F.lit(True)
+    for i, c in enumerate(at):
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"__g{i}"))
+    joined = rows.join(n, cond)
+    whole = joined.where(F.col("__n") <= F.col("__left")).select(*rows.columns)
+    cut = joined.where(F.col("__n") > F.col("__left")).select(*[c for c in rows.columns if c != "__quota"], F.col("__left").alias("__quota"))
+    return whole, cut
+
+
+def first_per_group(df: DataFrame, keys: list[str], ids: list[str], quota: Column | int, seed: int = 42) -> DataFrame:
+    """The first `quota` rows of every group in the order of a hash of the ids: exactly min(quota, rows of the group).
+
+    quota is a number, or a column that is constant in a group. The same rows
+    at any partitioning; rows with equal ids follow a hash of all their
+    columns, and rows equal in all are told apart by nothing. Rows are counted
+    by ranges of the hash, and only the range where the quota is reached is
+    looked at closer, so neither a hot group nor a hot id meets in one task.
+    Null keys form a group, null ids are an id. A quota of 0 or less gives none.
     """
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    match = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    u = unit_hash(seed, *[F.col(f"l.`{c}`") for c in ids])
-    thin = df.alias("l").join(n.alias("r"), cond).where(u < (2 * cap + 64) / F.col("__n")).select("l.*", u.alias("__u"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("__u", *ids))
-    return thin.withColumn("__place", place).where(F.col("__place") <= cap).drop("__u", "__place")
+    columns = df.columns
+    quota = F.lit(quota) if isinstance(quota, int) else quota
+    buckets = max(1, min(MOST_BUCKETS, df.count() // BUCKET_ROWS))
+    own = lambda c: F.pmod(F.col(c), F.lit(buckets)).cast("int")
+    rows = df.withColumn("__quota", quota.cast("bigint")).withColumn("__u", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in ids])).withColumn("__ub", own("__u"))
+    whole, cut = _up_to_quota(rows, keys, "__ub")
+    out = [whole.select(*columns)]
+    cut = settle(cut)  # about a bucket a group
+    group = [*keys, "__ub"]
+    for level, made in (("__u", None), ("__vb", own("__v")), ("__v", None)):
+        if made is not None:
+            cut = cut.withColumn("__v", F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in columns])).withColumn(level, made)
+        whole, cut = _up_to_quota(cut, group, level)
+        out.append(whole.select(*columns))
+        group.append(level)
+    # Equal rows, as one with its number of copies.
+    same = cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    upto = F.sum("__copies").over(W.partitionBy(*group).orderBy("__quota").rowsBetween(W.unboundedPreceding, W.currentRow))
+    take = F.least("__copies", F.col("__quota") - (upto - F.col("__copies")))
+    same = same.withColumn("__take", take).where("__take > 0")
+    out.append(same.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "__take")).alias("__copy")).drop("__copy"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def cap_per_group(df: DataFrame, keys: list[str], ids: list[str], cap: int, seed: int = 42) -> DataFrame:
+    """At most `cap` rows of every group: first_per_group() with one quota for all."""
+    return first_per_group(df, keys, ids, cap, seed)
 
 
 def pool(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -37,11 +84,13 @@ def pool(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
 
 
 def subsamples(pooled: DataFrame, ids: list[str], n_points: int, m: int, seed: int = 42) -> DataFrame:
-    """point_id and the rows of n_points samples of m rows without replacement.
+    """point_id and the rows of n_points samples of m rows without replacement; an error if there are fewer than m rows.
 
     Every sample is thinned by hash to about twice its size before it is ranked, so the pool may be a whole table.
     """
     n = pooled.count()
+    if m > n:
+        raise ValueError(f"samples of {m} rows from {n}")
     points = pooled.crossJoin(F.broadcast(pooled.sparkSession.range(n_points).select(F.col("id").cast("int").alias("point_id"))))
     u = unit_hash(seed, F.col("point_id"), *[F.col(f"`{c}`") for c in ids])
     points = points.withColumn("__u", u).where(F.col("__u") < (2 * m + 64) / max(n, 1))
