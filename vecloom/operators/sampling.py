@@ -53,16 +53,17 @@ def first_per_group(df: DataFrame, keys: list[str], ids: list[str], quota: Colum
     buckets = max(1, min(MOST_BUCKETS, df.count() // BUCKET_ROWS))
     own = lambda c: F.pmod(F.col(c), F.lit(buckets)).cast("int")
     rows = df.withColumn("__quota", quota.cast("bigint")).withColumn("__u", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in ids])).withColumn("__ub", own("__u"))
-    whole, cut = _up_to_quota(rows, keys, "__ub")
-    out = [whole.select(*columns)]
-    cut = settle(cut)  # about a bucket a group
-    group = [*keys, "__ub"]
-    for level, made in (("__u", None), ("__vb", own("__v")), ("__v", None)):
+    levels = [("__ub", None), ("__u", None), ("__vb", own("__v")), ("__v", None)]
+    out, group, cut = [], list(keys), rows
+    for level, made in levels:
         if made is not None:
             cut = cut.withColumn("__v", F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in columns])).withColumn(level, made)
         whole, cut = _up_to_quota(cut, group, level)
         out.append(whole.select(*columns))
         group.append(level)
+        cut = settle(cut)  # at first about a bucket a group, and none at all once rows are told apart
+        if cut.isEmpty():
+            return reduce(DataFrame.unionByName, out)
     # Equal rows, as one with its number of copies.
     same = cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("__copies"))
     upto = F.sum("__copies").over(W.partitionBy(*group).orderBy("__quota").rowsBetween(W.unboundedPreceding, W.currentRow))
