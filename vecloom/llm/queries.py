@@ -70,7 +70,7 @@ def _mix(spark: SparkSession, sf: str) -> Mix:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _mix(spark, sf).report().where("short").select("mix_id", "source")
+    return _mix(spark, sf).report().where("exhausted").select("mix_id", "source")
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
