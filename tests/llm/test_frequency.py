@@ -69,3 +69,18 @@ def test_every_term_of_a_repeated_position_counts(spark):
     rows = [(1, 0, w, None) for w in ("b", "a", "b", None)] + [(1, 1, "c", None), (2, 0, "b", None)]
     terms = {("a", 1): (1, 1), ("b", 1): (2, 2), ("c", 1): (1, 1)}
     assert _got(spark, rows, 1) == terms and _got(spark, rows, 2) == terms | {("a c", 2): (1, 1)}
+
+
+def test_types_of_a_profile(spark):
+    tokens = spark.createDataFrame([("b", " noun", w) for w in ("Die", "die", "der", None)] + [("b", None, "x"), (None, "NOUN", "y")], "batch_id string, pos string, word string")
+    summary = spark.createDataFrame([(1, "b", "NOUN", 9, 2), (2, "b", "noun ", 9, None), (3, "b", "NOUN", 2, 3), (4, "b", "NOUN", 9, 1), (5, "b", "NOUN", 9, 5), (6, "b", None, 9, 5), (7, None, "NOUN", 0, 0)], "summary_id bigint, batch_id string, pos string, n_tokens bigint, n_types bigint")
+    got = {r.summary_id: (r.counted, r.verdict) for r in Q.check_types(tokens, summary).collect()}
+    assert got == {1: (2, "equal"), 2: (2, "missing"), 3: (2, "impossible"), 4: (2, "too_few"), 5: (2, "open"), 6: (0, "open"), 7: (0, "impossible")}
+    assert Q.check_types(tokens, summary.where("false")).collect() == []
+
+
+def test_repeated_rows_and_text_records(spark):
+    rows = [(1, 0, "a", None)] * 3 + [(1, None, "a", None)] * 2 + [(2, 0, "a", None)]
+    assert _got(spark, rows, 1) == {("a", 1): (3, 2)}
+    df = spark.createDataFrame([("r1", 0, "a"), ("r2", 0, "a"), ("r2", 0, "a")], "row_id string, word_id int, word string")
+    assert [(r.occurrences, r.records) for r in Q.phrase_frequency(df, "row_id", "word_id", F.col("word"), 1).collect()] == [(2, 2)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.containers import fill_containers, fill_report, split_documents
-from vecloom.llm.frequency import token_terms
+from vecloom.llm.frequency import check_types, token_terms
 from vecloom.llm.mixing import Mix
 from vecloom.llm.mojibake import Repair
 from vecloom.llm.proportions import ProportionalSample
@@ -37,14 +37,17 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    terms = token_terms(_read(spark, sf, "sentence_tokens"))
-    return terms.where("n_terms = 1 and mark is not null").select("term", "mark")
+    return token_terms(_read(spark, sf, "sentence_tokens"), longest=1).where("mark is not null").select("term", "mark")
 
 
 def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
     return token_terms(_read(spark, sf, "sentence_tokens"), longest=1).drop("n_terms")
 
 
+def p5_types(spark: SparkSession, sf: str) -> DataFrame:
+    return check_types(_read(spark, sf, "sentence_tokens"), _read(spark, sf, "pos_summary"))
+
+
 def p5_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return token_terms(_read(spark, sf, "sentence_tokens"), longest=3)
 
@@ -90,7 +93,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_phrases, p6_found, p6_containers, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_restored)
+    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_types, p5_phrases, p6_found, p6_containers, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_restored)
     return {f.__name__: f for f in every}
 
 
@@ -114,6 +117,19 @@ ORACLE = {
         where coalesce(rows_there, 0) < greatest(min_rows, target_share * sample_share * n)""",
     "p5_found": f"select * from (select term, {_MARK} as mark from ({_TERMS})) where mark is not null",
     "p5_terms": f"select term, occurrences, records, {_MARK} as mark from ({_TERMS})",
+    "p5_types": f"""
+        with c as (select batch_id as batch, upper(trim(pos, {_BLANKS})) as tag, count(distinct {_FOLD}) as counted from sentence_tokens where word is not null group by all),
+        s as (select summary_id, batch_id as batch, upper(trim(pos, {_BLANKS})) as tag, n_tokens, n_types from pos_summary)
+        select summary_id, n_types, coalesce(counted, 0) as counted, case when n_types is null then 'missing' when n_types < 1 or n_types > n_tokens then 'impossible'
+            when n_types < coalesce(counted, 0) then 'too_few' when n_types = coalesce(counted, 0) then 'equal' else 'open' end as verdict from s left join c using (batch, tag)""",
+    "p5_phrases": f"""
+        with w as (select row_id, word_id, min({_FOLD}) as t0 from sentence_tokens where row_id is not null group by all),
+        l as (select row_id, t0, lead(t0, 1) over p as t1, lead(t0, 2) over p as t2 from w window p as (partition by row_id order by word_id nulls last)),
+        g as (
+            select term, 1 as n_terms, occurrences, records from ({_TERMS})
+            union all select t0 || ' ' || t1, 2, count(*), count(distinct row_id) from l where t0 is not null and t1 is not null group by t0, t1
+            union all select t0 || ' ' || t1 || ' ' || t2, 3, count(*), count(distinct row_id) from l where t0 is not null and t1 is not null and t2 is not null group by t0, t1, t2)
+        select term, cast(n_terms as integer) as n_terms, occurrences, records, {_MARK} as mark from g""",
     "p6_found": "select spec_id, doc_id from documents cross join container_specs where strlen(text) > capacity_tokens",
     "p7_found": """
         with s as (select source, sum(coalesce(strlen(text), 0)) as size from documents where source is not null group by 1),
