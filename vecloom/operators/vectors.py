@@ -7,10 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecloom.operators.ranges import numbered
+
+#: Vectors of a block of the neighbour search; a task compares two blocks, so this bounds its work and memory.
+BLOCK_ROWS, CHUNK = 4096, 64
+#: Bytes of sums that a task holds before it hands them on.
+HELD_BYTES = 256 << 20
 #: Partial moments are merged in two steps, first within this many parts of a group.
 MERGE_PARTS = 64
 
@@ -66,7 +71,13 @@ def moments(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
                 got[0] += len(x)
                 got[1] += x.sum(axis=0)
                 got[2] += x.T @ x
-        yield pd.DataFrame([(*k, p, n, s.tolist(), c.ravel().tolist()) for k, (n, s, c, p) in acc.items()], columns=schema.names)
+            if sum(8 * len(s) * (len(s) + 1) for _, s, _, _ in acc.values()) > HELD_BYTES:
+                yield table(acc)
+                acc = {}
+        yield table(acc)
+
+    def table(acc: dict[tuple, list]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, p, n, s.tolist(), c.ravel().tolist()) for k, (n, s, c, p) in acc.items()], columns=schema.names)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
@@ -91,11 +102,21 @@ def scatter_matrix(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
 
 
 def participation(df: DataFrame, keys: list[str], vec: str, eps: float = 1e-12) -> DataFrame:
-    """keys, n, d, pr, iso_score: from trace and Frobenius norm of the scatter matrix, without eigenvalues."""
-    s = scatter_matrix(df, keys, vec)
-    trace, square = F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))), F.sum(F.col("s") * F.col("s"))
-    agg = s.groupBy(*keys).agg((trace * trace / (square + eps)).alias("pr"), (F.max("i") + 1).alias("d"))
-    return agg.select(*keys, "d", "pr", F.when(F.col("d") > 1, (F.col("pr") - 1) / (F.col("d") - 1)).alias("iso_score"))
+    """keys, d, pr, iso_score: from trace and Frobenius norm of the scatter matrix, without eigenvalues."""
+    out = T.StructType([*_key_fields(df, keys), T.StructField("d", T.IntegerType()), T.StructField("pr", T.DoubleType()), T.StructField("iso_score", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                s = np.asarray(r["sums"], dtype=float)
+                d = len(s)
+                c = np.asarray(r["scatter"], dtype=float).reshape(d, d) - np.outer(s, s) / max(r["n"], 1)
+                pr = float(np.trace(c) ** 2 / ((c * c).sum() + eps))
+                rows.append((*[r[k] for k in keys], d, pr, (pr - 1) / (d - 1) if d > 1 else None))
+            yield pd.DataFrame(rows, columns=out.names)
+
+    return moments(df, keys, vec).mapInPandas(run, out)
 
 
 def vmf_kappa(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
@@ -111,33 +132,123 @@ def mean_abs_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFr
     return pairs.groupBy(*keys).agg(F.avg(F.abs(cosine(F.col(a), F.col(b)))).alias("mean_abs_cosine"))
 
 
-def neighbour_distances(df: DataFrame, keys: list[str], id_: str, vec: str, k: int) -> DataFrame:
-    """keys, id, rank (from 1), r: the k nearest others of every vector in its group, ties by id.
+def _compared(df: DataFrame, keys: list[str], id_: str, vec: str, kernel, out: T.StructType) -> DataFrame:
+    """kernel(keys, queries, points) over every two blocks of a group; a block is about BLOCK_ROWS vectors of it.
 
-    All pairs of a group: for groups of bounded size (cap_per_group() first).
+    queries and points are (ids, matrix); both hold a block's vectors in the
+    order of their ids. A vector is sent once for every block of its group, and
+    no task holds more than two blocks. Null vectors are left out.
+    """
+    slim = df.where(F.col(vec).isNotNull()).select(*keys, F.col(id_).alias("__id"), F.transform(vec, lambda x: x.cast("double")).alias("__v"))
+    n = slim.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("__b"))
+    n = n.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], "__b")
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    own = slim.join(n, cond).select(*keys, "__id", "__v", "__b", F.pmod(F.xxhash64("__id"), F.col("__b")).cast("int").alias("__own"))
+    each = F.explode(F.sequence(F.lit(0), F.col("__b") - 1))
+    sides = [own.select(*keys, "__id", "__v", F.lit(side).alias("__side"), F.col("__own").alias(mine), each.alias(others)) for side, mine, others in ((0, "__q", "__p"), (1, "__p", "__q"))]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__id", kind="stable")
+        key = tuple(pdf[k].iloc[0] for k in keys)
+        two = [(g["__id"].to_numpy(), np.stack(g["__v"].to_numpy())) if len(g) else (np.array([]), np.zeros((0, 0))) for g in (pdf[pdf["__side"] == side] for side in (0, 1))]
+        return kernel(key, *two) if all(len(x[0]) for x in two) else pd.DataFrame(columns=out.names)
+
+    return sides[0].unionByName(sides[1]).groupBy(*keys, "__q", "__p").applyInPandas(run, out)
+
+
+def _chunks(queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Squared distances of CHUNK queries at a time by one matrix product, with the error that they may have."""
+    centre = points.mean(axis=0)
+    q, p = queries - centre, points - centre
+    pp = np.einsum("ij,ij->i", p, p)
+    for at in range(0, len(q), CHUNK):
+        x = q[at : at + CHUNK]
+        xx = np.einsum("ij,ij->i", x, x)[:, None]
+        yield at, np.clip(xx + pp[None, :] - 2 * x @ p.T, 0.0, None), 1e-12 * (xx + pp.max()), x
+
+
+def nearest(df: DataFrame, keys: list[str], id_: str, vec: str, k: int) -> DataFrame:
+    """keys, id, rs: the distances to the k nearest others of every vector in its group, ascending; fewer where there are fewer.
+
+    Exact, by blocks of the group: each task gives the k nearest of two blocks,
+    and those of a vector are merged. A group's vectors need ids of their own
+    and one length.
     """
-    a = df.select(*keys, F.col(id_).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    b = a.select(*keys, F.col("id").alias("other"), F.col("v").alias("w"))
-    r = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
-    near = a.join(b, keys).where(F.col("id") != F.col("other")).select(*keys, "id", "other", r.alias("r"))
-    rank = F.row_number().over(W.partitionBy(*keys, "id").orderBy("r", "other"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "id", "rank", "r")
+    out = T.StructType([*_key_fields(df, keys), T.StructField("id", df.schema[id_].dataType), T.StructField("rs", T.ArrayType(T.DoubleType()))])
+
+    def kernel(key: tuple, queries: tuple, points: tuple) -> pd.DataFrame:
+        (ids, q), (others, p) = queries, points
+        rows = []
+        for at, d2, error, _ in _chunks(q, p):
+            own = others[None, :] == ids[at : at + len(d2), None]
+            d2[own] = np.inf
+            if len(p) > k:
+                # What may be among the k nearest is measured anew, so that equal vectors are at distance 0.
+                close = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] + 2 * error
+            else:
+                close = np.isfinite(d2)
+            for i in range(len(d2)):
+                j = np.flatnonzero(close[i] & ~own[i])
+                r = np.sort(np.sqrt(((q[at + i] - p[j]) ** 2).sum(axis=1)))[:k]
+                rows.append((*key, ids[at + i], r))
+        return pd.DataFrame(rows, columns=out.names)
+
+    found = _compared(df, keys, id_, vec, kernel, out)
+    # A list per block of the group.
+    return found.groupBy(*keys, "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("rs"))), 1, k).alias("rs"))
+
+
+def neighbour_distances(df: DataFrame, keys: list[str], id_: str, vec: str, k: int) -> DataFrame:
+    """keys, id, rank (from 1), r: nearest() in long form."""
+    return nearest(df, keys, id_, vec, k).select(*keys, "id", F.posexplode("rs").alias("at", "r")).select(*keys, "id", (F.col("at") + 1).alias("rank"), "r")
+
+
+def pairs_within(df: DataFrame, keys: list[str], id_: str, vec: str, radii: list[float]) -> DataFrame:
+    """keys, pairs, within: ordered pairs of different vectors of every group, and how many are nearer than each radius. Only counts are shuffled."""
+    out = T.StructType([*_key_fields(df, keys), T.StructField("pairs", T.LongType()), T.StructField("within", T.ArrayType(T.LongType()))])
+
+    def kernel(key: tuple, queries: tuple, points: tuple) -> pd.DataFrame:
+        (ids, q), (others, p) = queries, points
+        pairs, within = 0, np.zeros(len(radii), dtype=np.int64)
+        for at, d2, error, _ in _chunks(q, p):
+            other = others[None, :] != ids[at : at + len(d2), None]
+            pairs += int(other.sum())
+            for n, r in enumerate(radii):
+                unsure = (np.abs(d2 - r * r) <= 2 * error) & other
+                i, j = np.nonzero(unsure)
+                near = np.sqrt(((q[at + i] - p[j]) ** 2).sum(axis=1)) < r
+                within[n] += int(((d2 < r * r) & other & ~unsure).sum()) + int(near.sum())
+        return pd.DataFrame([(*key, pairs, within)], columns=out.names)
+
+    each = [F.sum(F.get("within", F.lit(n))) for n in range(len(radii))]
+    return _compared(df, keys, id_, vec, kernel, out).groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.array(*each).alias("within"))
+
+
+def _lists(neighbours: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """nearest() with lists of up to k, from it or from neighbour_distances()."""
+    if "rs" in neighbours.columns:
+        return neighbours.withColumn("rs", F.slice("rs", 1, k))
+    r = F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"])
+    return neighbours.where(F.col("rank") <= k).groupBy(*keys, "id").agg(r.alias("rs"))
 
 
 def two_nn(neighbours: DataFrame, keys: list[str], keep: float = 0.9) -> DataFrame:
-    """keys, twonn: slope through the origin of -ln(1 - i/N) on ln(r2/r1), over the lowest `keep` of the ratios."""
-    r = neighbours.groupBy(*keys, "id").agg(F.max(F.when(F.col("rank") == 1, F.col("r"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("r"))).alias("r2"))
-    mu = r.where("r1 > 0").select(*keys, "id", F.log(F.col("r2") / F.col("r1")).alias("x"))
-    i = F.row_number().over(W.partitionBy(*keys).orderBy("x", "id"))
-    mu = mu.withColumns({"i": i, "n": F.count(F.lit(1)).over(W.partitionBy(*keys))}).where(F.col("i") <= F.floor(F.col("n") * keep))
+    """keys, twonn: slope through the origin of -ln(1 - i/N) on ln(r2/r1), over the lowest `keep` of the ratios.
+
+    neighbours: of nearest() or neighbour_distances(). The ratios are numbered by ranges, so no task orders a group.
+    """
+    mu = _lists(neighbours, keys, 2).where((F.size("rs") > 1) & (F.get("rs", F.lit(0)) > 0))
+    mu = numbered(mu.select(*keys, "id", F.log(F.col("rs")[1] / F.col("rs")[0]).alias("x")), keys, ["x", "id"], "i", total="n")
+    mu = mu.where(F.col("i") <= F.floor(F.col("n") * keep))
     y = -F.log(1 - F.col("i") / F.col("n"))
     return mu.groupBy(*keys).agg((F.sum(F.col("x") * y) / F.sum(F.col("x") * F.col("x"))).alias("twonn"))
 
 
 def neighbour_dimensions(neighbours: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
     """keys, mle, mom, mada from the k nearest neighbours; points with a zero distance are left out of mle and mada."""
-    r = F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"])
-    own = neighbours.where(F.col("rank") <= k).groupBy(*keys, "id").agg(r.alias("rs")).where(F.size("rs") == k)
+    own = _lists(neighbours, keys, k).where(F.size("rs") == k)
     rk, half = F.element_at("rs", k), F.element_at("rs", max(1, k // 2))
     logs = F.aggregate(F.slice("rs", 1, k - 1), F.lit(0.0), lambda acc, x: acc + F.log(rk / x)) / (k - 1)
     m1 = F.aggregate("rs", F.lit(0.0), lambda acc, x: acc + x) / k
@@ -146,9 +257,9 @@ def neighbour_dimensions(neighbours: DataFrame, keys: list[str], k: int = 20) ->
     return per.groupBy(*keys).agg((1 / F.avg("inv")).alias("mle"), F.avg("mom").alias("mom"), F.avg("mada").alias("mada"))
 
 
-def correlation_integral(neighbours_all: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    """keys, corrint: the slope of the log share of pairs nearer than lo and hi. Needs all pair distances."""
-    c = neighbours_all.groupBy(*keys).agg(F.avg((F.col("r") < lo).cast("double")).alias("a"), F.avg((F.col("r") < hi).cast("double")).alias("b"))
+def correlation_integral(df: DataFrame, keys: list[str], id_: str, vec: str, lo: float, hi: float) -> DataFrame:
+    """keys, corrint: the slope of the log share of pairs nearer than lo and hi; null where none is nearer than lo."""
+    c = pairs_within(df, keys, id_, vec, [lo, hi]).select(*keys, (F.col("within")[0] / F.col("pairs")).alias("a"), (F.col("within")[1] / F.col("pairs")).alias("b"))
     return c.select(*keys, F.when((F.col("a") > 0), (F.log("b") - F.log("a")) / (F.log(F.lit(hi)) - F.log(F.lit(lo)))).alias("corrint"))
 
 

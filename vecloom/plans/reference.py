@@ -170,7 +170,7 @@ def mean_abs_cosine(spark, sf):
 
 
 def _near(spark, sf, k):
-    return vectors.neighbour_distances(_embeddings(spark, sf), ["label"], "vec_id", "embedding", k)
+    return vectors.nearest(_embeddings(spark, sf), ["label"], "vec_id", "embedding", k)
 
 
 def twonn(spark, sf):
@@ -183,7 +183,7 @@ def neighbour_dimensions(spark, sf):
 
 
 def corrint(spark, sf):
-    return vectors.correlation_integral(_near(spark, sf, 1 << 30), ["label"], 1.2, 1.35).withColumn("corrint", F.round("corrint", 5))
+    return vectors.correlation_integral(_embeddings(spark, sf), ["label"], "vec_id", "embedding", 1.2, 1.35).withColumn("corrint", F.round("corrint", 5))
 
 
 def _pooled(how: str):

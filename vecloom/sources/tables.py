@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecloom.operators.ranges import numbered
+
 
 def read_csv(spark: SparkSession, path: str | None = None, columns: list[str] | None = None, env: str = "CSV_PATH", schema: T.StructType | None = None) -> DataFrame:
     """A CSV file with a header, quotes doubled inside quoted fields, fields of several lines; all columns as text.
@@ -75,12 +76,4 @@ def dense_id(df: DataFrame, order: list[str], name: str = "token_id") -> DataFra
     Rows are put in ranges of the order; the rows of each range are counted and
     numbered on from the ranges before.
     """
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    from vecloom.session import settle
-
-    part = settle(part)
-    n = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per range
-    place = F.row_number().over(W.partitionBy("__p").orderBy(*order))
-    out = part.withColumn("__at", place).join(F.broadcast(n.select("__p", before.alias("__before"))), "__p")
-    return out.withColumn(name, (F.col("__before") + F.col("__at") - 1).cast("bigint")).drop("__p", "__at", "__before")
+    return numbered(df, [], order, name).withColumn(name, (F.col(name) - 1).cast("bigint"))
