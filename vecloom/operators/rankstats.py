@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions.stats import spearman_p_udf
+from vecloom.operators.ranges import numbered
 from vecloom.session import settle
 
 
@@ -17,35 +17,52 @@ def _finite(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
 
-def _pair_ranks(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """m1, m2, x, y, n: distinct value pairs with their numbers of rows, for every two metrics, where both are there."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), _finite(F.col(f"`{a}`")).alias("x"), _finite(F.col(f"`{b}`")).alias("y")) for a, b in combinations(metrics, 2)])
-    long = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return long.groupBy("m1", "m2", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+#: A value that holds more than this share of a column's rows has its rank broadcast; a column has at most 1/share of them.
+HOT_SHARE = 1 / 4096
 
 
-def _with_rank(long: DataFrame, value: str, rank: str) -> DataFrame:
-    """long with the average rank of `value` among the rows of its pair (n rows each)."""
-    counts = long.groupBy("m1", "m2", value).agg(F.sum("n").alias("c"))
-    # Ranges of the values, so that no task orders all of a column; written, as the ranges must not change between reads.
-    counts = settle(counts.repartitionByRange("m1", "m2", value).withColumn("range", F.spark_partition_id()))
-    sums = counts.groupBy("m1", "m2", "range").agg(F.sum("c").alias("all"))
-    before = F.coalesce(F.sum("all").over(W.partitionBy("m1", "m2").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.join(sums.select("m1", "m2", "range", before.alias("before")), ["m1", "m2", "range"])
-    inside = F.coalesce(F.sum("c").over(W.partitionBy("m1", "m2", "range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("m1", "m2", value, (F.col("before") + inside + (F.col("c") + 1) / 2.0).alias(rank))
-    return long.join(ranks, ["m1", "m2", value])
+def _sides(metrics: list[str], there: dict[str, int], n: int) -> dict[tuple[str, str], int]:
+    """Which ranking (by number) the first of two metrics takes in the pair: one of its own if the second lacks rows, else the same in all pairs."""
+    names: dict[tuple[str, str | None], int] = {}
+    return {(a, b): names.setdefault((a, None if there[b] == n else b), len(names)) for a in metrics for b in metrics if a != b}
+
+
+def _ranks(df: DataFrame, sides: dict[tuple[str, str], int]) -> DataFrame:
+    """v, value, rank, hot: the average rank of every distinct value of every ranking."""
+    first = {v: pair for pair, v in reversed(sides.items())}
+    cells = [F.struct(F.lit(v).alias("v"), F.when(_finite(F.col(f"`{b}`")).isNotNull(), _finite(F.col(f"`{a}`"))).alias("value")) for v, (a, b) in first.items()]
+    # A metric with its own ranking in all pairs stands with one that has all rows, so the condition holds for every row there.
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("value").isNotNull()).groupBy("v", "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = numbered(counts, ["v"], ["value"], "upto", F.col("c"), total="all")
+    return settle(upto.select("v", "value", (F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"), (F.col("c") > HOT_SHARE * F.col("all")).alias("hot")))
+
+
+def _with_rank(long: DataFrame, ranks: DataFrame, v: str, value: str, name: str) -> DataFrame:
+    """long with the rank of `value` in ranking `v`: by broadcast for hot values, so that the join of the others knows no hot key."""
+    r = ranks.select(F.col("v").alias(v), F.col("value").alias(value), F.col("rank").alias(name), "hot")
+    near = long.join(F.broadcast(r.where("hot").drop("hot")), [v, value], "left")  # at most 1 / HOT_SHARE rows a ranking
+    rest = near.where(F.col(name).isNull()).drop(name).join(r.where("not hot").drop("hot"), [v, value])
+    return near.where(F.col(name).isNotNull()).unionByName(rest)
 
 
 def spearman(df: DataFrame, metrics: list[str]) -> DataFrame:
     """m1, m2, n, rho for every two metrics, over the rows where both are finite; null for fewer than three rows.
 
-    Ranks are average ranks within the rows of the pair. The correlation is
-    summed over distinct value pairs, so repeated values cost nothing. A
-    constant column has a null correlation.
+    Ranks are average ranks within the rows of the pair; a metric is ranked
+    once for all partners that have every row. The correlation is summed over
+    distinct value pairs, so repeated values cost nothing. A constant column
+    has a null correlation.
     """
-    pairs = settle(_pair_ranks(df, metrics))  # read for the ranges and the ranks of both sides
-    r = _with_rank(settle(_with_rank(pairs, "x", "rx")), "y", "ry")
+    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_finite(F.col(f"`{m}`"))).alias(f"m{i}") for i, m in enumerate(metrics)]).first()
+    sides = _sides(metrics, {m: total[f"m{i}"] for i, m in enumerate(metrics)}, total["n"])
+    ranks = _ranks(df, sides)
+    two = [
+        F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), F.lit(sides[a, b]).alias("vx"), F.lit(sides[b, a]).alias("vy"), _finite(F.col(f"`{a}`")).alias("x"), _finite(F.col(f"`{b}`")).alias("y"))
+        for a, b in combinations(metrics, 2)
+    ]
+    long = df.select(F.explode(F.array(*two)).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    long = settle(long.groupBy("m1", "m2", "vx", "vy", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    r = _with_rank(_with_rank(long, ranks, "vx", "x", "rx"), ranks, "vy", "y", "ry")
     w = F.col("n").cast("double")
     s = r.groupBy("m1", "m2").agg(
         F.sum("n").alias("n"), F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"),
