@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.operators import kernels as K
-from vecloom.operators.sampling import bootstrap_indices, cap_per_group
+from vecloom.operators.sampling import bootstrap_draw, cap_per_group, confidence
 from vecloom.operators.vectors import moments, norm
 
 #: Vectors of a group that one kernel call takes at most, by cost.
 CAPS = {"fast": 100_000, "heavy": 5_000}
 #: Draws of a replicate at most, as in the reference, and vectors of a group that they are drawn from.
 DRAWS = {"fast": 184_870, "heavy": 5_000}
+#: Replicates of a bootstrap by cost, and those that one task evaluates.
+REPS, REPS_PER_TASK = {"fast": 50, "heavy": 200}, 25
 
 
 def _fields(df: DataFrame, keys: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -111,16 +113,20 @@ def vector_agg(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list
     return reduce(DataFrame.unionByName, parts)
 
 
-def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: str, reps: int = 50, m: int | None = None, seed: int = 42, cap: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: str, reps: int | None = None, m: int | None = None, seed: int = 42, cap: int | None = None) -> DataFrame:
     """cls, layer, metric, mean, ci_low, ci_high, n_tokens over replicates drawn with replacement.
 
-    A replicate has m draws, by default as many as the class has vectors up to the kernel's DRAWS.
-    All layers of a class use the same draws: the vectors are taken in the
-    order of their ids, and the draws depend on their number and the seed.
-    Classes with fewer than 3 vectors are left out.
+    There are REPS replicates by the cost of the metric, of m draws each, by
+    default as many as the class has vectors up to the kernel's DRAWS. All
+    layers of a class use the same draws: the vectors are taken in the order of
+    their ids, and the draws depend on their number, the seed and the number of
+    the replicate. REPS_PER_TASK of them are evaluated by one task. Classes
+    with fewer than 3 vectors are left out; undefined replicates do not count.
     """
-    cap = cap or DRAWS[K.METRICS[metric][0]]
-    out = _fields(df, [cls, layer], ("metric", T.StringType()), ("mean", T.DoubleType()), ("ci_low", T.DoubleType()), ("ci_high", T.DoubleType()), ("n_tokens", T.LongType()))
+    cost = K.METRICS[metric][0]
+    cap, reps = cap or DRAWS[cost], reps or REPS[cost]
+    keys = [cls] if cls == layer else [cls, layer]
+    out = _fields(df, keys, ("value", T.DoubleType()), ("n", T.LongType()))
 
     kernel = K.METRICS[metric][1]
 
@@ -128,15 +134,17 @@ def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: s
         if len(pdf) < 3:
             return pd.DataFrame(columns=out.names)
         pdf = pdf.sort_values("__id")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"]])
-        values = [evaluate(kernel, K.Cloud(x[i], seed))[0] for i in bootstrap_indices(len(x), min(m or len(x), len(x)), reps, seed)]
-        v = np.array([np.nan if a is None else a for a in values])
-        stats = (float(np.nanmean(v)), *map(float, np.nanpercentile(v, [2.5, 97.5]))) if np.isfinite(v).any() else (None, None, None)
-        return pd.DataFrame([(pdf[cls].iloc[0], pdf[layer].iloc[0], metric, *stats, len(x))], columns=out.names)
+        x, first = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["__v"]]), int(pdf["__part"].iloc[0]) * REPS_PER_TASK
+        draws = (bootstrap_draw(len(x), min(m or len(x), len(x)), r, seed) for r in range(first, min(first + REPS_PER_TASK, reps)))
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], evaluate(kernel, K.Cloud(x[i], seed))[0], len(x)) for i in draws], columns=out.names)
 
-    keys = [cls] if cls == layer else [cls, layer]
     slim = df.where(F.col(vec).isNotNull()).select(*keys, F.col(id_).alias("__id"), F.col(vec).alias("__v"))
-    return cap_per_group(slim, keys, ["__id"], cap, seed).groupBy(*keys).applyInPandas(run, out)
+    parts = F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // REPS_PER_TASK))).alias("__part")
+    values = cap_per_group(slim, keys, ["__id"], cap, seed).select("*", parts).groupBy(*keys, "__part").applyInPandas(run, out)
+    n = values.groupBy(*keys).agg(F.max("n").alias("n_tokens"))
+    stats = confidence(values, keys, "value")
+    cond = [stats[k].eqNullSafe(n[k]) for k in keys]
+    return stats.join(n, reduce(lambda a, b: a & b, cond)).select(*[stats[k] for k in keys], F.lit(metric).alias("metric"), "mean", "ci_low", "ci_high", "n_tokens")
 
 
 def points_table(samples: DataFrame, point: str, id_: str, vec: str, metrics: list[str], heavy_cap: int = 1000, seed: int = 42) -> DataFrame:

@@ -13,8 +13,13 @@ def value_counts(df: DataFrame, c: Column | str, name: str = "value") -> DataFra
     return df.select(col.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, c: str, lo: int, hi: int, name: str = "bin") -> DataFrame:
-    """Counts of the whole numbers lo..hi, 0 where there is none. The range is checked before rounding half to even."""
+def histogram(df: DataFrame, c: str, lo: int, hi: int, name: str = "bin", gate: bool = False) -> DataFrame:
+    """Counts of the whole numbers lo..hi, 0 where there is none. The range is checked before rounding half to even.
+
+    With `gate`, a column without any value has no rows instead of zeros.
+    """
+    if gate and df.where(F.col(f"`{c}`").isNotNull()).isEmpty():
+        return df.sparkSession.createDataFrame([], f"`{name}` int, n bigint")
     x = F.col(f"`{c}`").cast("double")
     counts = value_counts(df.where(x.between(lo, hi)), F.bround(x, 0).cast("int"), name)
     domain = df.sparkSession.range(lo, hi + 1).select(F.col("id").cast("int").alias(name))

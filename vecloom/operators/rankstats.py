@@ -102,3 +102,15 @@ def min_max(df: DataFrame, metric: str, value: str) -> DataFrame:
 def pivot(df: DataFrame, rows: str, columns: str, value: str, order: list) -> DataFrame:
     """One row per `rows`, one column per value of `columns` in the given order."""
     return df.groupBy(rows).pivot(columns, order).agg(F.first(value))
+
+
+def labelled(matrix: DataFrame, order: list[str], labels: dict[str, str]) -> DataFrame:
+    """The cells of spearman_matrix() as a table: a row and a column per metric that is present, in the given order, under their display names."""
+    there = {r.m1 for r in matrix.select("m1").distinct().collect()}  # metrics
+    shown = [m for m in order if m in there]
+    spark = matrix.sparkSession
+    if not shown:
+        return spark.createDataFrame([], "ord int, metric string")
+    names = F.broadcast(spark.createDataFrame([(i, m, labels.get(m, m)) for i, m in enumerate(shown)], "ord int, m1 string, metric string"))
+    cells = [F.max(F.when(F.col("m2") == m, F.col("cell"))).alias(labels.get(m, m)) for m in shown]
+    return matrix.join(names, "m1").groupBy("ord", "metric").agg(*cells)

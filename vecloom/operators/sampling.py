@@ -99,10 +99,9 @@ def subsamples(pooled: DataFrame, ids: list[str], n_points: int, m: int, seed: i
     return points.withColumn("__place", place).where(F.col("__place") <= m).drop("__place", "__u")
 
 
-def bootstrap_indices(n: int, m: int, reps: int, seed: int = 42) -> list[np.ndarray]:
-    """The draws with replacement of every replicate: the same for all layers of a class."""
-    rng = np.random.default_rng(seed)
-    return [rng.integers(0, n, size=m) for _ in range(reps)]
+def bootstrap_draw(n: int, m: int, replicate: int, seed: int = 42) -> np.ndarray:
+    """The m draws with replacement from n of one replicate: the same for all layers of a class, in any task."""
+    return np.random.default_rng([seed, replicate]).integers(0, n, size=m)
 
 
 def confidence(df: DataFrame, keys: list[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

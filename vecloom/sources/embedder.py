@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: words of a sentence -> for each layer, sub-token word ids and vectors: (word_ids (m,), vectors (layers, m, d)).
 Model = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -29,6 +31,18 @@ def hash_model(layers: int = 2, d: int = 8, piece: int = 4) -> Model:
     return run
 
 
+def digest_model(layers: int = 2, d: int = 8, piece: int = 4) -> Model:
+    """As hash_model(), the vectors read off the MD5 digits of the piece and the layer, so that SQL can make them, too."""
+
+    def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [i for i, w in enumerate(words) for _ in range(0, max(len(w), 1), piece)]
+        pieces = [w[at : at + piece] for w in words for at in range(0, max(len(w), 1), piece)]
+        v = [[[int(x, 16) / 7.5 - 1 for x in hashlib.md5(f"{p}|{layer}".encode(), usedforsecurity=False).hexdigest()[:d]] for p in pieces] for layer in range(layers)]
+        return np.array(ids, dtype=int), np.array(v).reshape(layers, len(pieces), d)
+
+    return run
+
+
 def load_first(candidates: list[str], load: Callable[[str], Model]) -> Model:
     """The first candidate that loads; if none does, an error with the last reason."""
     last: Exception | None = None
@@ -65,6 +79,47 @@ def embed(sentences: DataFrame, model: Callable[[], Model], mode: str = "first",
     return sentences.select("sentence_id", F.col("words")).mapInPandas(run, "sentence_id string, word_id int, layer int, vec array<float>")
 
 
-def attach(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Tokens with their vectors, by sentence and word; tokens without one are left out."""
-    return tokens.join(vectors, ["sentence_id", "word_id"])
+def embed_pieces(sentences: DataFrame, model: Callable[[], Model]) -> DataFrame:
+    """sentence_id, word_id, piece, layer, vec: a row per sub-token and layer, for pool_pieces().
+
+    sentences: sentence_id, words (array<string>) and word_ids (array<int>),
+    the numbers of the words. The model is made once per task; sentences go
+    through it in Arrow batches, and one sentence has to fit a task, as it has
+    to fit the model.
+    """
+    schema = T.StructType([sentences.schema["sentence_id"], *T.StructType.fromDDL("word_id int, piece int, layer int, vec array<double>")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model()
+        for pdf in batches:
+            rows = []
+            for sid, words, numbers in zip(pdf.sentence_id, pdf.words, pdf.word_ids, strict=True):
+                ids, v = m(list(words))
+                rows += [(sid, int(numbers[w]), n, layer, v[layer, n]) for n, w in enumerate(ids) for layer in range(len(v))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return sentences.select("sentence_id", "words", "word_ids").mapInPandas(run, schema)
+
+
+def pool_pieces(pieces: DataFrame, how: str = "mean") -> DataFrame:
+    """sentence_id, word_id, layer, vec: the first or the last sub-token of every word, or the mean of all."""
+    groups = pieces.groupBy("sentence_id", "word_id", "layer")
+    if how in ("first", "last"):
+        return groups.agg((F.min_by if how == "first" else F.max_by)("vec", "piece").alias("vec"))
+    if how != "mean":
+        raise ValueError(f"mode {how!r} is not first, last or mean")
+    vecs = F.transform(F.array_sort(F.collect_list(F.struct("piece", "vec"))), lambda x: x["vec"])  # the pieces of a word
+    total = F.aggregate(F.slice("vecs", F.lit(2), F.size("vecs")), F.get("vecs", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return groups.agg(vecs.alias("vecs")).select("sentence_id", "word_id", "layer", F.transform(total, lambda x: x / F.size("vecs")).alias("vec"))
+
+
+def attach(tokens: DataFrame, vectors: DataFrame, missing: str = "drop") -> DataFrame:
+    """Tokens with their vectors, by sentence and word. A token without one is left out, or an error where missing is `fail`."""
+    if missing == "drop":
+        return tokens.join(vectors, ["sentence_id", "word_id"])
+    if missing != "fail":
+        raise ValueError(f"missing {missing!r} is neither drop nor fail")
+    told = F.raise_error(F.concat(F.lit("no vector for word "), F.col("word_id").cast("string"), F.lit(" of sentence "), F.col("sentence_id").cast("string")))
+    out = tokens.join(vectors.withColumn("__there", F.lit(True)), ["sentence_id", "word_id"], "left")
+    checked = F.when(F.col("__there"), F.col("vec")).otherwise(told.cast(vectors.schema["vec"].dataType))
+    return out.withColumn("vec", checked).drop("__there")

@@ -20,8 +20,8 @@ def isotropic(n: int, d: int = 16, seed: int = 42) -> np.ndarray:
 
 
 def anisotropic(n: int, d: int = 16, condition: float = 100.0, seed: int = 42) -> np.ndarray:
-    """Variances fall geometrically from 1 to 1 / condition."""
-    return np.random.default_rng(seed).standard_normal((n, d)) * np.sqrt(np.geomspace(1.0, 1.0 / condition, d))
+    """Variances fall geometrically from condition to 1."""
+    return np.random.default_rng(seed).standard_normal((n, d)) * np.sqrt(np.geomspace(condition, 1.0, d))
 
 
 def subspace(n: int, d: int = 64, rank: int = 4, noise: float = 1e-3, seed: int = 42) -> np.ndarray:

@@ -61,8 +61,11 @@ def layer_rows(stats: DataFrame, model: str, tag: str, layer: str, word_rep_mode
 
 
 def write_results(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Result rows as one folder per metric and model."""
-    rows.write.mode("overwrite").partitionBy("metric", "model").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+    """Result rows as one folder per subset, metric and model, named by_X; the files keep all columns."""
+    by = ["subset", "metric", "model"]
+    by = {f"by_{c}": F.col(c) for c in by if c in rows.columns}
+    w = rows.withColumns(by).repartition(*by).write.mode("overwrite").partitionBy(*by)
+    w.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
 
 
 def missing_vectors(tokens: DataFrame, vectors: DataFrame, keys: list[str]) -> int:
