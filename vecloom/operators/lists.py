@@ -26,7 +26,7 @@ def _literal(cells: pd.Series) -> pd.Series:
 
 #: A list of strings without escapes, whole numbers and None, as Python writes it.
 _QUOTED = r"""'[^'\\\n\r]*+'|"[^"\\\n\r]*+\""""
-_PLAIN_ITEM = rf"""(?:{_QUOTED}|-?(?:0|[1-9][0-9]*+)(?![^\s,\]])|None(?![^\s,\]]))"""
+_PLAIN_ITEM = rf"""(?:{_QUOTED}|(?:0|-?[1-9][0-9]*+)(?![^\s,\]])|None(?![^\s,\]]))"""
 _PLAIN = rf"""^\s*+\[\s*+(?:{_PLAIN_ITEM}\s*+(?:,\s*+{_PLAIN_ITEM}\s*+)*+(?:,\s*+)?+)?+\]\s*+$"""
 
 

@@ -115,8 +115,18 @@ P1_SQL = f"""
     )
     select * from judged where reason is not null"""
 
+P1_READABLE_SQL = f"""
+    with failing as ({P1_SQL}), lines as (
+        select line_id, list_transform(regexp_extract_all(raw_line || ',', {_q(_FIELD + ",")}), lambda x: case when x like '"%' then replace(x[2:-3], '""', '"') when x = ',' then null else x[:-2] end) as f
+        from sentence_lines where line_id not in (select row_id from failing where src_name = 'sentence_lines')
+    )
+    select 'en_ewt_ud_train_sentences' as src_name, row_id, sentence_id, tokens, pos, "index", head_dist, relation_type, ariety
+    from en_ewt_ud_train_sentences where row_id not in (select row_id from failing where src_name = 'en_ewt_ud_train_sentences')
+    union all select 'sentence_lines', line_id, f[1], f[2], f[3], f[4], f[5], f[6], f[7] from lines"""
+
 ORACLE = {
     "p1_found": P1_SQL,
+    "p1_readable": P1_READABLE_SQL,
     "p1_reasons": f"select src_name, reason, count(*) as n_rows from ({P1_SQL}) group by all",
     "p3_found": f"select field_name, key_text from ({_KEYS}) where key_text is not null group by all having count(*) >= 0.085::double * (select count(*) from sentence_tokens)",
     "p3_profile": f"""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from vecloom.operators import kernels, metrics, outliers, profile, rankstats, sampling, tokens, vectors
 from vecloom.operators.hotkeys import tag
 from vecloom.operators.rejects import classify_sentences, known_labels, separate
+from vecloom.plans.parsing import P1_SQL
 from vecloom.session import settle
-from vecloom.sources import manifolds, tables
+from vecloom.sources import embedder, manifolds, tables
 
 POINT_METRICS = ["iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "gride", "mle", "mom", "tle", "corrint", "fishers", "ess", "mada"]
 FEATURES = ["pos", "index", "length", "head_dist", "relation_type", "arity"]
@@ -132,10 +133,72 @@ def semi_join_reduce(spark, sf):
     return tokens.reduce_to(_read(spark, sf, "en_ewt_ud_train_sentences"), wanted, "row_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_vector_report(spark, sf):
-    t = _read(spark, sf, "sentence_tokens").where("word_id = 0").select(F.col("row_id").alias("token_id"))
-    v = _embeddings(spark, sf).select(F.col("vec_id").alias("token_id"))
-    return spark.createDataFrame([(tables.missing_vectors(t, v, ["token_id"]),)], "n_missing bigint")
+def first_delivery(spark, sf):
+    s = _read(spark, sf, "en_ewt_ud_train_sentences").select("sentence_id", "loaded_at", "row_id")
+    return tokens.keep_first(s, ["sentence_id"], ["loaded_at", "row_id"])
+
+
+def balanced_rows(spark, sf):
+    t = _tokens(spark, sf).where("pos is not null").select("pos", "row_id", "word_id")
+    return sampling.balanced_frequency(t, "pos", ["row_id", "word_id"]).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_form(spark, sf):
+    s = _read(spark, sf, "en_ewt_ud_train_sentences").drop("sentence_id").withColumnRenamed("row_id", "sid")
+    return tokens.expand_by_index(s).groupBy("index_class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sentence_id").alias("n_sentences"), F.max("word_id").alias("last"))
+
+
+def pos_form(spark, sf):
+    s = _read(spark, sf, "en_ewt_ud_train_sentences").drop("sentence_id").withColumnRenamed("row_id", "sid")
+    return tokens.expand_by_pos(s).groupBy(F.col("sentence_id").cast("bigint").alias("row_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("word_id").alias("places"))
+
+
+# --- tokens with vectors ----------------------------------------------------------------------------------------------
+def _first_tokens(spark, sf):
+    t = _read(spark, sf, "sentence_tokens").where("word is not null").select("row_id", "word_id", "word", "index", "loaded_at")
+    t = tokens.keep_first(t, ["row_id", "word_id"], ["loaded_at", "word", "index"])
+    return t.select(F.col("row_id").alias("sentence_id"), "word_id", "word", tokens.index_class(F.col("index").cast("int")).alias("index_class"))
+
+
+def _token_vectors(spark, sf):
+    """Every token that has a class with its vector of both layers; a class token without a vector is an error."""
+    t = _first_tokens(spark, sf)
+    one = F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("one")  # the words of a sentence, which the model takes together
+    s = t.groupBy("sentence_id").agg(one).select("sentence_id", F.transform("one", lambda x: x["word"]).alias("words"), F.transform("one", lambda x: x["word_id"]).alias("word_ids"))
+    vectors_ = embedder.pool_pieces(embedder.embed_pieces(s, embedder.digest_model), "mean")
+    return embedder.attach(t.where("index_class is not null"), vectors_, missing="fail").withColumn("token_id", F.concat_ws("-", "sentence_id", "word_id"))
+
+
+def token_vectors(spark, sf):
+    vec = F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec")
+    return _token_vectors(spark, sf).select(F.col("sentence_id").alias("row_id"), "word_id", "index_class", "layer", vec)
+
+
+def class_layer_metrics(spark, sf):
+    v, keys = settle(_token_vectors(spark, sf)), ["index_class", "layer"]
+    both = vectors.participation(v, keys, "vec").join(vectors.vmf_kappa(v, keys, "vec"), keys)
+    return both.select(*keys, "d", *[F.round(c, 5).alias(c) for c in ("pr", "iso_score", "vmf_kappa")])
+
+
+def class_layer_bootstrap(spark, sf):
+    b = metrics.bootstrap(_token_vectors(spark, sf), "index_class", "layer", "token_id", "vec", "pr")
+    return tables.result_rows(b, "all", "digest", "index", "index_class", "layer", "mean", "sentence_tokens")
+
+
+def bootstrap_heavy(spark, sf):
+    e = _embeddings(spark, sf).select("label", "vec_id", F.posexplode(F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))).alias("layer", "vec"))
+    return metrics.bootstrap(e, "label", "layer", "vec_id", "vec", "twonn")
+
+
+def pca3d_tokens(spark, sf):
+    return metrics.pca_projection(settle(_token_vectors(spark, sf)), ["layer"], "token_id", "vec", keep=["index_class", "word"])
+
+
+def missing_vectors(spark, sf):
+    """Token positions of the whole table that have no vector, as they have no word."""
+    t = _read(spark, sf, "sentence_tokens").select(F.col("row_id").alias("sentence_id"), "word_id").distinct()
+    with_word = _first_tokens(spark, sf).select("sentence_id", "word_id")
+    return spark.createDataFrame([(tables.missing_vectors(t, with_word, ["sentence_id", "word_id"]),)], "n_missing bigint")
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
@@ -243,6 +306,14 @@ def spearman_cells(spark, sf):
     return rankstats.spearman_matrix(_read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("m1", "m2", "cell", F.round("p", 4).alias("p"))
 
 
+SHOWN = {"length": "Length", "index": "Index", "arity": "Arity", "head_dist": "Head distance"}
+
+
+def spearman_table(spark, sf):
+    m = rankstats.spearman_matrix(_read(spark, sf, "sentence_tokens"), NUMBERS)
+    return rankstats.labelled(m, ["length", "index", "missing", "arity", "head_dist"], SHOWN)
+
+
 def _metric_rows(spark, sf):
     e = _embeddings(spark, sf)
     p = vectors.participation(e, ["label"], "embedding").join(vectors.vmf_kappa(e, ["label"], "embedding"), "label")
@@ -270,7 +341,8 @@ def metric_labels(spark, sf):
 _ALL = [
     token_index_counts, token_length_hist, head_dist_hist, arity_hist, topk_pos, topk_relation,
     *[_profile_of(c) for c in ("pos", "index", "length", "relation_type", "arity")], class_profile_head_dist, class_profile_top5,
-    exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens, sorted_classes, semi_join_reduce, missing_vector_report, tensor_shape,
+    exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens, sorted_classes, semi_join_reduce, tensor_shape,
+    first_delivery, balanced_rows, index_form, pos_form, token_vectors, class_layer_metrics, class_layer_bootstrap, bootstrap_heavy, pca3d_tokens, missing_vectors, spearman_table,
     layer_dim_means, outlier_counts, participation_ratio, vmf_kappa, scatter_matrix, mean_abs_cosine, twonn, neighbour_dimensions, corrint,
     *[_pooled(h) for h in ("first", "last", "mean")], spectral_metrics, vector_metrics, pca3d, bootstrap_pr, bootstrap_ci_summary, metric_points, metric_correlation,
     spearman_matrix, spearman_cells, minmax_normalise, pivot_metrics, manifold_sweep, metric_labels,
@@ -332,7 +404,67 @@ def _pooled_sql(pick: str) -> str:
     return f"with {_LONG}, p as (select label, {pick}(vec_id) as vec_id from embeddings group by 1) select label, cast(dim as integer) as dim, round(x, 7) as x from e join p using (label, vec_id)"
 
 
+# Two-sided p of a rank correlation by t with n - 2 degrees of freedom: the density of t by Simpson's rule from 0 to |t|.
+_P = """case when n < 3 or rho is null then null when abs(rho) >= 1 then 0 else (
+        select greatest(0, 1 - 2 * sum(w * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + (t * i / 400) * (t * i / 400) / v, -(v + 1) / 2) * t / 1200))
+        from (select i, abs(rho) * sqrt((n - 2) / nullif(1 - rho * rho, 0)) as t, n - 2.0::double as v, case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end as w from range(401) s(i))) end"""
+_STARS = "case when p < 1e-3 then '***' when p < 1e-2 then '**' when p < 5e-2 then '*' else '' end"
+
+
+def _cells_sql(table: str, columns: list[str]) -> str:
+    pairs = " union all ".join(f"""select '{a}' as m1, '{b}' as m2, "{a}"::double as x, "{b}"::double as y from {table} where "{a}" is not null and "{b}" is not null""" for i, a in enumerate(columns) for b in columns[i + 1 :])
+    return f"""p0 as ({pairs}), r as (select m1, m2, rank() over (partition by m1, m2 order by x) + (count(*) over (partition by m1, m2, x) - 1) / 2 as rx,
+            rank() over (partition by m1, m2 order by y) + (count(*) over (partition by m1, m2, y) - 1) / 2 as ry from p0),
+        c as (select m1, m2, count(*) as n, corr(rx, ry) as rho from r group by all), q as (select *, {_P} as p from c), h as (select m1, m2, printf('%.2f', rho) || {_STARS} as cell, p from q),
+        cells as (select * from h union all select m2, m1, cell, p from h union all select m, m, '1.00', 1.0::double from (select unnest({columns}) as m))"""
+
+
+# The reading rules of list cells, for their number of elements: a list as Python writes it, else one element.
+_STR = r"""(?:'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")"""
+_PY = rf"""(?:{_STR}(?:\s*{_STR})*|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?|None|True|False)"""  # strings side by side are one
+_PY_LIST = rf"""^\s*\[\s*(?:{_PY}\s*(?:,\s*{_PY}\s*)*(?:,\s*)?)?\]\s*$"""
+
+
+def _elements(c: str, malformed: str = "wrap") -> str:
+    quoted = f"trim({c})"
+    other = f"[{quoted}]" if malformed == "wrap" else f"case when {quoted} like '[%]' then [] else [{quoted}] end"
+    return f"""case when {c} is null then [] when regexp_matches({quoted}, {_quote(_PY_LIST)}) then list_transform(regexp_extract_all({quoted}, {_quote(_PY)}),
+        lambda x: case when x[1] in (chr(39), '"') then x[2:-2] when x = 'None' then null else x end) else {other} end"""
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", 2 * "'") + "'"
+
+
+_LISTS = "l as (select row_id, " + ", ".join(f'{_elements(chr(34) + c + chr(34))} as "{c}"' for c in ("tokens", "pos", "index", "head_dist", "relation_type", "ariety")) + " from en_ewt_ud_train_sentences)"
+
+# Tokens, first delivery of each, and the vectors that digest_model() gives their pieces, averaged.
+_FIRST = """f as (select row_id, word_id, word, case when trunc("index") >= 1 then cast(cast(least(trunc("index"), 10) as bigint) as varchar) end as index_class from sentence_tokens where word is not null
+        qualify row_number() over (partition by row_id, word_id order by loaded_at nulls last, word, "index" nulls last) = 1)"""
+_VECTORS = f"""{_FIRST}, pc as (select row_id, word_id, index_class, layer, md5(substr(word, start_at + 1, 4) || '|' || layer) as digest
+        from (select *, unnest(range(0, greatest(length(word), 1), 4)) as start_at from f where index_class is not null) cross join (select unnest([0, 1]) as layer)),
+    tv as (select row_id, word_id, index_class, layer, j, avg((instr('0123456789abcdef', substr(digest, j, 1)) - 1) / 7.5::double - 1) as x from pc cross join (select unnest(range(1, 9)) as j) group by all)"""
+_BY_CLASS = f"{_VECTORS}, e as (select index_class || '|' || layer as label, row_id || '-' || word_id as vec_id, x, j - 1 as dim from tv)"
+
 ORACLE = {
+    "first_delivery": "select sentence_id, loaded_at, row_id from en_ewt_ud_train_sentences qualify row_number() over (partition by sentence_id order by loaded_at nulls last, row_id) = 1",
+    "balanced_rows": f"with n as (select {_TAG} as pos, count(*) as n from sentence_tokens where {_TAG} is not null group by 1) select pos, (select min(n) from n) as n from n",
+    "index_form": f"""with {_LISTS}, t as (select row_id, unnest("index"[1:least(len(tokens), len("index"))]) as i, generate_subscripts("index"[1:least(len(tokens), len("index"))], 1) - 1 as word_id from l),
+        c as (select row_id, word_id, least(try_cast(i as integer), 10) as k from t where regexp_full_match(trim(i), '[-+]?[0-9]+') and try_cast(i as integer) >= 1)
+        select cast(k as varchar) as index_class, count(*) as n, count(distinct row_id) as n_sentences, cast(max(word_id) as integer) as last from c group by 1""",
+    "pos_form": f"""with l as (select row_id, {_elements("tokens", "empty")} as tokens, {_elements("pos", "empty")} as pos from en_ewt_ud_train_sentences),
+        t as (select row_id, unnest(pos[1:least(len(tokens), len(pos))]) as pos, generate_subscripts(pos[1:least(len(tokens), len(pos))], 1) - 1 as word_id from l)
+        select row_id, count(*) as n, cast(sum(word_id) as bigint) as places from t where coalesce(pos not in ('X', 'SYM', 'INTJ', 'PART'), true) group by 1""",
+    "explode_shortest": f"""with {_LISTS}, p1 as ({P1_SQL}), g as (select * from l where row_id not in (select row_id from p1 where src_name = 'en_ewt_ud_train_sentences')),
+        n as (select *, least(len(tokens), len(pos), len("index"), len(head_dist), len(relation_type), len(ariety)) as n from g)
+        select row_id, n, cast(n - 1 as integer) as last, list_sum(list_transform("index"[1:n], lambda x: try_cast(x as double))) as index_sum, list_sum(list_transform(ariety[1:n], lambda x: try_cast(x as double))) as arity_sum from n where n > 0""",
+    "token_vectors": f"with {_VECTORS} select row_id, word_id, index_class, cast(layer as integer) as layer, list(round(x, 6) + 0.0::double order by j) as vec from tv group by all",
+    "class_layer_metrics": f"with {_PR.replace(_LONG, _BY_CLASS)}, {_KAPPA} select split_part(label, '|', 1) as index_class, cast(split_part(label, '|', 2) as integer) as layer, cast(d as integer) as d, round(pr, 5) as pr, round(iso_score, 5) as iso_score, round(vmf_kappa, 5) as vmf_kappa from pi join k using (label)",
+    "missing_vectors": "select count(*) as n_missing from (select row_id, word_id from sentence_tokens group by all having count(word) = 0)",
+    "spearman_cells": f"with {_cells_sql('lineitem', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])} select m1, m2, cell, round(p, 4) as p from cells",
+    "spearman_table": f"with {_cells_sql('sentence_tokens', NUMBERS)} select cast(list_position({list(SHOWN)}, m1) - 1 as integer) as ord, case m1 "
+    + " ".join(f"when '{k}' then '{v}'" for k, v in SHOWN.items()) + " end as metric, " + ", ".join(f"max(cell) filter (m2 = '{k}') as \"{v}\"" for k, v in SHOWN.items()) + " from cells group by m1",
+    "metric_labels": "select unnest(" + repr(sorted(kernels.LABELS)) + ") as metric, unnest([" + ", ".join(_quote(v) for _, v in sorted(kernels.LABELS.items())) + "]) as label",
     "token_index_counts": _hist("index", 1, 10),
     "token_length_hist": _hist("length", 1, 10),
     "head_dist_hist": _hist("head_dist", -6, 6),
@@ -352,7 +484,6 @@ ORACLE = {
     "pos_x_head_dist": f"with {_T} select pos, head_dist, count(*) as n from t where pos is not null and head_dist between -6 and 6 group by all",
     "sorted_classes": 'select distinct cast(cast(least(trunc("index"), 10) as bigint) as varchar) as index_class, cast(least(trunc("index"), 10) as integer) as ord from sentence_tokens where trunc("index") >= 1',
     "semi_join_reduce": f"select batch_id, count(*) as n from en_ewt_ud_train_sentences where row_id in (select row_id from sentence_tokens where {_TAG} = 'INTJ') group by 1",
-    "missing_vector_report": "select count(*) as n_missing from sentence_tokens where word_id = 0 and row_id not in (select vec_id from embeddings)",
     "tensor_shape": "select max(label) + 1 as n_layers, count(*) as n_vectors, min(len(embedding)) as least_dim, max(len(embedding)) as most_dim from embeddings",
     "layer_dim_means": f"with {_MEANS} select label, cast(dim as integer) as dim, round(mean, 9) as mean from m",
     "outlier_counts": f"""with {_MEANS}, l as (select avg(mean) + 1.5 * stddev_pop(mean) as thr from m), k as (select label, dim, mean, thr, mean >= thr as mask from m cross join l),
