@@ -64,6 +64,16 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _filled(spark, sf)
 
 
+def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Nothing is lost, nothing twice, nothing over capacity: per spec documents, tokens, pieces and containers that hold too much."""
+    filled = _filled(spark, sf)
+    by_item = filled.groupBy("spec_id", "item").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    items = by_item.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_tokens"), F.sum("pieces").alias("n_pieces"))
+    one = filled.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"))
+    over = one.groupBy("spec_id").agg(F.count(F.when(F.col("used") > F.col("capacity_tokens"), 1)).alias("n_over"))
+    return items.join(over, "spec_id")
+
+
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(_filled(spark, sf))
 
@@ -80,6 +90,10 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report()
 
 
+def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).plan.select("mix_id", "source", "weight", "max_repeats", "size", *[F.round(c, 3).alias(c) for c in ("wanted", "given")])
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).rows
 
@@ -93,7 +107,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_types, p5_phrases, p6_found, p6_containers, p6_report, p7_found, p7_report, p7_mix, p8_found, p8_restored)
+    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_types, p5_phrases, p6_found, p6_containers, p6_totals, p6_report, p7_found, p7_plan, p7_report, p7_mix, p8_found, p8_restored)
     return {f.__name__: f for f in every}
 
 
@@ -105,16 +119,27 @@ _TERMS = f"""
     from sentence_tokens where word is not null and row_id is not null group by 1"""
 _MARK = "case when records < 5 then 'rare' when records > 0.18::double * (select count(distinct row_id) from sentence_tokens) then 'common' end"
 
-ORACLE = {
-    "p2_found": f"""
+_CATEGORIES = f"""
         with n as (select count(*) as n from sentence_tokens),
         c as (
             select 'pos' as field_name, upper(trim(pos, {_BLANKS})) as category from sentence_tokens
             union all select 'index', case when "index" = floor("index") and "index" >= 1 then cast(cast(least("index", 10) as bigint) as varchar) end from sentence_tokens
             union all select 'head_dist', case when head_dist = floor(head_dist) then cast(cast(head_dist as bigint) as varchar) end from sentence_tokens
-        ), k as (select field_name, category, count(*) as rows_there from c where category is not null and category <> '' group by all)
+        ), k as (select field_name, category, count(*) as rows_there from c where category is not null and category <> '' group by all)"""
+
+ORACLE = {
+    "p2_found": f"""{_CATEGORIES}
         select target_id, t.category from sample_targets t cross join n left join k using (field_name, category)
         where coalesce(rows_there, 0) < greatest(min_rows, target_share * sample_share * n)""",
+    # The divisor method row by row: floors first, then the smallest priorities (rank - 0.5) / share.
+    "p2_report": f"""{_CATEGORIES},
+        t as (select t.*, coalesce(rows_there, 0) as available, n, cast(round_even(max(sample_share) over (partition by target_id) * n, 0) as bigint) as size,
+            greatest(min_rows::double, target_share * sample_share * n) as wanted from sample_targets t cross join n left join k using (field_name, category)),
+        r as (select target_id, category, size, min_rows, target_share, unnest(generate_series(1, least(available, greatest(size, min_rows)))) as rank from t),
+        o as (select *, row_number() over (partition by target_id order by rank > min_rows, (rank - 0.5) / target_share, category) as place from r where target_share > 0 or rank <= min_rows),
+        s as (select target_id, category, count(*) as taken from o where place <= size or rank <= min_rows group by all)
+        select target_id, field_name, category, target_share, min_rows, wanted, available, coalesce(taken, 0) as taken, coalesce(taken, 0) / nullif(sum(coalesce(taken, 0)) over (partition by target_id), 0) as reached_share,
+            coalesce(taken, 0) < wanted and available < wanted as short from t left join s using (target_id, category)""",
     "p5_found": f"select * from (select term, {_MARK} as mark from ({_TERMS})) where mark is not null",
     "p5_terms": f"select term, occurrences, records, {_MARK} as mark from ({_TERMS})",
     "p5_types": f"""
@@ -131,6 +156,19 @@ ORACLE = {
             union all select t0 || ' ' || t1 || ' ' || t2, 3, count(*), count(distinct row_id) from l where t0 is not null and t1 is not null and t2 is not null group by t0, t1, t2)
         select term, cast(n_terms as integer) as n_terms, occurrences, records, {_MARK} as mark from g""",
     "p6_found": "select spec_id, doc_id from documents cross join container_specs where strlen(text) > capacity_tokens",
+    "p6_totals": """
+        select spec_id, count(*) as n_documents, cast(sum(coalesce(strlen(text), 0)) as bigint) as n_tokens, cast(sum(greatest(1, ceil(coalesce(strlen(text), 0) / capacity_tokens))) as bigint) as n_pieces, 0 as n_over
+        from documents cross join container_specs where capacity_tokens > 0 group by 1""",
+    # Water-filling in closed form: by what a source can give for its weight, those up to the level are clamped, the others share the rest.
+    "p7_plan": """
+        with s as (select source, sum(coalesce(strlen(text), 0)) as size from documents where source is not null group by 1),
+        m as (select mix_id, source, weight, max_repeats, coalesce(size, 0) as size, weight * total_factor * (select sum(size) from s) as wanted, (max_repeats * coalesce(size, 0))::double as most,
+            max(total_factor) over (partition by mix_id) * (select sum(size) from s) as total from mix_targets left join s using (source)),
+        o as (select *, most / weight as ratio, (total - coalesce(sum(most) over w, 0)) / (sum(weight) over (partition by mix_id) - coalesce(sum(weight) over w, 0)) as level from m where weight > 0
+            window w as (partition by mix_id order by most / weight, source rows between unbounded preceding and 1 preceding)),
+        l as (select mix_id, arg_min(level, (ratio, source)) as level from o where ratio > level group by 1)
+        select mix_id, source, weight, max_repeats, cast(size as bigint) as size, round(wanted, 3) as wanted, round(case when weight > 0 then least(most, weight * coalesce(level, 'inf'::double)) else 0 end, 3) as given
+        from m left join l using (mix_id)""",
     "p7_found": """
         with s as (select source, sum(coalesce(strlen(text), 0)) as size from documents where source is not null group by 1),
         t as (select sum(size) as total from s)
