@@ -68,8 +68,12 @@ def test_learned_where_all_variants_are_equally_common(spark):
 
 def test_many_garbled_words(spark, collection, monkeypatch):
     docs, truth = collection
+    df = spark.createDataFrame([(i, t, "clash") for i, t in docs], DOCS)
+    learned = M.Repair(df).learned
     monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
-    repair = M.Repair(spark.createDataFrame([(i, t, "clash") for i, t in docs], DOCS))
+    monkeypatch.setattr(M, "MOST_SETS", 0)
+    repair = M.Repair(df)
+    assert repair.learned == learned
     assert {r.doc_id for r in repair.found().collect()} - {3000} == set(truth)
 
 

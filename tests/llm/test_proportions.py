@@ -64,3 +64,12 @@ def test_empty_tables(spark):
     rows, targets = spark.createDataFrame([], ROWS), spark.createDataFrame([("t", "pos", "A", 1.0, 0.5, 2)], TARGETS)
     assert [(r.taken, r.short) for r in P.ProportionalSample(rows, targets).report().collect()] == [(0, True)]
     assert P.ProportionalSample(rows, targets.where("false")).report().collect() == []
+
+
+def test_another_field_is_an_error(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(1, 0, "NOUN", 1.0, 1.0)], "row_id bigint, word_id int, pos string, index double, head_dist double")
+    targets = spark.createDataFrame([("t", "length", "3", 1.0, 0.5, 0)], "target_id string, field_name string, category string, target_share double, sample_share double, min_rows bigint")
+    with pytest.raises(ValueError, match="no categories by length"):
+        P.ProportionalSample(rows, targets)

@@ -32,7 +32,7 @@ LEAST_ASCII = 6
 #: A transformation counts as learned from this many different aligned words on, which no better one explains;
 #: a word counts from two passages on, as two garbled forms of one text may also meet.
 LEAST_PAIRS, LEAST_VOTES = 3, 2
-#: Explanation sets (which transformations explain a pair) that may be fetched to the driver.
+#: Explanation sets (which transformations explain a pair) that are fetched to the driver; of more, the gains by chain are.
 MOST_SETS = 100_000
 #: How much commoner the restored word must be where its bytes alone prove nothing, and the surroundings likewise.
 WORD_RATIO, LEAST_WORDS, CONTEXT_RATIO, LEAST_CONTEXTS = 5, 5, 20, 20
@@ -340,14 +340,31 @@ class Repair:
         whole = self.pairs.where(~F.col("garbled").contains(LOST) & ~F.col("clean").contains(LOST))
         explained = whole.mapInPandas(_explained, "garbled string, clean string, votes bigint, explained string").where("explained != ''")
         firm = F.count(F.when(F.col("votes") >= LEAST_VOTES, 1)).alias("firm")
-        sets = explained.groupBy("explained").agg(F.count(F.lit(1)).alias("n"), firm).orderBy(F.desc("n"), "explained").limit(MOST_SETS + 1).collect()
-        if len(sets) > MOST_SETS:
-            raise ValueError(f"more than {MOST_SETS} explanation sets")
+        sets = settle(explained.groupBy(F.split("explained", r"\|").alias("set")).agg(F.count(F.lit(1)).alias("n"), firm))
+        self.hinted = sorted(r[0] for r in sets.select(F.explode("set")).distinct().collect())  # no more than chains()
         # Bytes that decode as UTF-8 prove themselves: one pair is enough.
-        self.hinted = sorted({c for r in sets for c in r.explained.split("|")})
-        sure = best_chains([("|".join(c for c in r.explained.split("|") if c in PROVEN), r.n) for r in sets], 1)
-        rest = [(r.explained, r.firm) for r in sets if not set(r.explained.split("|")) & set(sure)]
-        return sure + best_chains(rest, LEAST_PAIRS)
+        sure = self._choose(sets.select("set", "n"), PROVEN, (), 1)
+        return sure + self._choose(sets.select("set", F.col("firm").alias("n")), chains(), sure, LEAST_PAIRS)
+
+    def _choose(self, sets: DataFrame, among, without, least: int) -> list[str]:
+        """best_chains() of (set, n) rows: with the chains `among` alone, and the sets that hold none of `without`."""
+        with_some = lambda cs: F.arrays_overlap("set", F.array(*[F.lit(c) for c in cs]))
+        left = sets.where(~with_some(without)) if without else sets
+        left = left.select(F.filter("set", lambda c: c.isin(sorted(among))).alias("set"), "n").where(F.size("set") > 0)
+        left = left.groupBy("set").agg(F.sum("n").alias("n"))
+        rows = left.limit(MOST_SETS + 1).collect()
+        if len(rows) <= MOST_SETS:
+            return best_chains([("|".join(r.set), r.n) for r in rows], least)
+        out: list[str] = []
+        order = {c: i for i, c in enumerate(chains())}
+        left = settle(left)
+        while True:
+            rest = left.where(~with_some(out)) if out else left
+            gain = {r.c: r.n for r in rest.select(F.explode("set").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+            best = max(gain, key=lambda c: (gain[c], -order[c]), default=None)
+            if best is None or gain[best] < least:
+                return out
+            out.append(best)
 
     def _garbled_words(self) -> DataFrame:
         """word, chain, restored: by a learned chain whose result the collection confirms, else by the twins."""
@@ -389,11 +406,10 @@ class Repair:
         t = tried.where(F.col("strength") == 2).join(by_word, "plain")
         commoner = F.col("plain_docs") >= F.greatest(F.lit(LEAST_WORDS), WORD_RATIO * F.col("n_docs"))
         t = t.where(F.col("proven") | (commoner & F.col("chain").isin(self.hinted)))
-        sets = t.groupBy("word", "plain").agg(F.array_join(F.array_sort(F.collect_set("chain")), "|").alias("explained"))
-        found = [(r.explained, r.n) for r in sets.groupBy("explained").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "explained").limit(MOST_SETS).collect()]
-        found = [(frozenset(e.split("|")), n) for e, n in found]
-        more = best_chains([("|".join(e & PROVEN), n) for e, n in found if not e & set(self.learned)], LEAST_VOTES)
-        return more + best_chains([("|".join(e - PROVEN), n) for e, n in found if not e & {*self.learned, *more}], LEAST_PAIRS)
+        sets = t.groupBy("word", "plain").agg(F.array_sort(F.collect_set("chain")).alias("set"))
+        sets = settle(sets.groupBy("set").agg(F.count(F.lit(1)).alias("n")))
+        more = self._choose(sets, PROVEN, self.learned, LEAST_VOTES)
+        return more + self._choose(sets, [c for c in chains() if c not in PROVEN], [*self.learned, *more], LEAST_PAIRS)
 
     def _hits(self) -> DataFrame:
         """doc_id with each garbled word of the document: word, chain, restored, strength. Documents without have no row."""

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from vecloom.llm import ranking as R
 from vecloom.session import settle
 
-#: Target rows that may be fetched to the driver; they are a fixed table.
-MOST_TARGETS = 100_000
+FIELDS = ("pos", "index", "head_dist")
 BLANKS = " \t\n\r\v\f"
 _CAT = ["field_name", "category"]
 _TARGET = "target_id string, field_name string, category string, target_share double, min_rows bigint, wanted double, available bigint, seats bigint"
@@ -70,28 +69,32 @@ class ProportionalSample:
     arbitrarily. Rows without a category (null or odd values) are in no sample.
     Targets that all their categories together can't fill keep every row. A
     null or zero share keeps the floor only; a null floor is 0. Other columns
-    of the input are not read. Empty inputs give empty results.
+    of the input are not read. Empty inputs give empty results. targets is a
+    table that the driver can hold; a target by another field than FIELDS is an
+    error.
     """
 
     def __init__(self, rows: DataFrame, targets: DataFrame, ids: tuple[str, ...] = ("row_id", "word_id"), seed: int = 42):
         spark = rows.sparkSession
         n_rows = rows.count()
-        wanted = targets.select("target_id", *_CAT, "target_share", "sample_share", "min_rows").limit(MOST_TARGETS + 1).collect()
-        if len(wanted) > MOST_TARGETS:
-            raise ValueError(f"more than {MOST_TARGETS} target rows")
-        fields = [f for f in ("pos", "index", "head_dist") if any(r.field_name == f for r in wanted)] or ["pos"]
+        wanted = targets.select("target_id", *_CAT, "target_share", "sample_share", "min_rows").collect()
+        named = {r.field_name for r in wanted}
+        if named - {*FIELDS}:
+            raise ValueError(f"no categories by {', '.join(sorted(map(str, named - {*FIELDS})))}")
+        fields = [f for f in FIELDS if f in named] or ["pos"]
         kinds = F.array(*[F.struct(F.lit(f).alias("field_name"), category_of(f).alias("category")) for f in fields])
         id_cols = [F.col(f"`{c}`") for c in ids]
         names = spark.createDataFrame(sorted({(r.field_name, r.category) for r in wanted if r.category is not None}), "field_name string, category string")
         long = rows.select(*id_cols, R.random_key(seed, *id_cols).alias("key"), F.explode(kinds).alias("x"))
         long = long.select("x.field_name", "x.category", *ids, "key", R.bucket_of(F.col("key"), R.bucket_count(n_rows)).alias("bucket"))
-        long = long.join(F.broadcast(names), _CAT)  # at most MOST_TARGETS rows
+        long = long.join(names, _CAT)
         offsets = settle(R.with_offsets(long.groupBy(*_CAT, "bucket").agg(F.count(F.lit(1)).alias("n")), _CAT, "n"))
 
         there = {(r.field_name, r.category): r.n for r in offsets.groupBy(*_CAT).agg(F.sum("n").alias("n")).collect()}  # no more than names
-        out = []
-        for target in dict.fromkeys(r.target_id for r in wanted):
-            own = [r for r in wanted if r.target_id == target]
+        out, by_target = [], {}
+        for r in wanted:
+            by_target.setdefault(r.target_id, []).append(r)
+        for target, own in by_target.items():
             size = round(max(r.sample_share or 0.0 for r in own) * n_rows)
             got = seats([(r.category, r.target_share or 0.0, there.get((r.field_name, r.category), 0), r.min_rows or 0) for r in own], size)
             out += [
@@ -100,13 +103,13 @@ class ProportionalSample:
             ]
         self.seated = spark.createDataFrame(out, _TARGET)
         # Only buckets that start at or before the last wanted rank are shuffled and sorted.
-        most = F.broadcast(self.seated.groupBy(*_CAT).agg(F.max("seats").alias("most")))
+        most = self.seated.groupBy(*_CAT).agg(F.max("seats").alias("most"))
         last = offsets.join(most, _CAT).where(F.col("before") < F.col("most")).groupBy(*_CAT).agg(F.max("bucket").alias("last"))
-        near = long.join(F.broadcast(last), _CAT).where(F.col("bucket") <= F.col("last")).drop("last")
+        near = long.join(last, _CAT).where(F.col("bucket") <= F.col("last")).drop("last")
         place = F.row_number().over(W.partitionBy(*_CAT, "bucket").orderBy("key", *ids))
         ranked = near.withColumn("place", place).join(offsets.select(*_CAT, "bucket", "before"), [*_CAT, "bucket"])
         ranked = ranked.withColumn("rank", (F.col("before") + F.col("place")).cast("bigint"))
-        seated = F.broadcast(self.seated.select("target_id", *_CAT, "target_share", "seats"))
+        seated = self.seated.select("target_id", *_CAT, "target_share", "seats")
         priority = F.when(F.col("target_share") > 0, (F.col("rank") - 0.5) / F.col("target_share")).otherwise(F.lit(inf))
         self.rows = ranked.join(seated, _CAT).where(F.col("rank") <= F.col("seats")).select("target_id", *_CAT, *ids, "rank", priority.alias("priority"))
 
