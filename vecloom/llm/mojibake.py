@@ -341,10 +341,13 @@ class Repair:
         explained = whole.mapInPandas(_explained, "garbled string, clean string, votes bigint, explained string").where("explained != ''")
         firm = F.count(F.when(F.col("votes") >= LEAST_VOTES, 1)).alias("firm")
         sets = settle(explained.groupBy(F.split("explained", r"\|").alias("set")).agg(F.count(F.lit(1)).alias("n"), firm))
-        self.hinted = sorted(r[0] for r in sets.select(F.explode("set")).distinct().collect())  # no more than chains()
         # Bytes that decode as UTF-8 prove themselves: one pair is enough.
         sure = self._choose(sets.select("set", "n"), PROVEN, (), 1)
-        return sure + self._choose(sets.select("set", F.col("firm").alias("n")), chains(), sure, LEAST_PAIRS)
+        learned = sure + self._choose(sets.select("set", F.col("firm").alias("n")), chains(), sure, LEAST_PAIRS)
+        # Chains of pairs that none of these explains: words may confirm them.
+        open_ = sets.where(~F.arrays_overlap("set", F.array(*[F.lit(c) for c in learned]))) if learned else sets
+        self.hinted = sorted(r[0] for r in open_.select(F.explode("set")).distinct().collect())  # no more than chains()
+        return learned
 
     def _choose(self, sets: DataFrame, among, without, least: int) -> list[str]:
         """best_chains() of (set, n) rows: with the chains `among` alone, and the sets that hold none of `without`."""
@@ -372,7 +375,9 @@ class Repair:
         by_word = counts.select(F.col("word").alias("plain"), F.col("n_docs").alias("plain_docs"))
         contexts = settle(counts.mapInPandas(_word_contexts, "context string, n_docs bigint").groupBy("context").agg(F.sum("n_docs").alias("n")))
         wanted = [c for c in chains() if c in PROVEN or c in CONTROL or c in self.learned or c in self.hinted]
-        tried = settle(counts.where(~F.col("word").contains(LOST)).mapInPandas(_tries(wanted), _TRIED).withColumn("id", F.monotonically_increasing_id()))
+        # Many steps a word: spread over all cores, whatever files the counts lie in.
+        words = counts.where(~F.col("word").contains(LOST)).repartition(self.spark.sparkContext.defaultParallelism, "word")
+        tried = settle(words.mapInPandas(_tries(wanted), _TRIED).withColumn("id", F.monotonically_increasing_id()))
         self.learned += self._by_words(tried, by_word)
         tried = tried.where(F.col("chain").isin(self.learned))
         t = tried.join(by_word, "plain", "left").withColumn("plain_docs", F.coalesce("plain_docs", F.lit(0).cast("bigint")))
