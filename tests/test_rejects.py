@@ -76,3 +76,10 @@ def test_very_long_cells(spark):
 def test_too_many_labels(spark):
     with pytest.raises(ValueError, match="more than"):
         R.known_labels(spark.range(20).selectExpr("cast(id as string) as relation_type"), "relation_type", most=10)
+
+
+def test_many_labels_are_joined(spark, sf, monkeypatch):
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("en_ewt_ud_train_sentences", "sentence_lines", "relation_labels")]
+    want = {tuple(r) for r in R.failing_rows(*tables, ("a", "b")).collect()}
+    monkeypatch.setattr(R, "MOST_LABELS", 3)
+    assert {tuple(r) for r in R.failing_rows(*tables, ("a", "b")).collect()} == want

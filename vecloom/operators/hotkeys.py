@@ -65,7 +65,8 @@ def key_profile(df: DataFrame, keys: dict[str, Column], measures: list[str], pro
     max_value, quantiles. A quantile p is the smallest value with at least
     p * n_values values up to it. Null keys have no group but count in the
     share; null, NaN and infinite values are no values; a group without values
-    has null quantiles. No rows in, no rows out.
+    has null quantiles. Measures are compared as double: whole numbers beyond
+    2^53 that no double tells apart are one value. No rows in, no rows out.
     """
     total = df.count()
     long = _long(df, keys, measures)
@@ -93,8 +94,14 @@ def key_profile(df: DataFrame, keys: dict[str, Column], measures: list[str], pro
 
 
 def heavy_keys(profile: DataFrame, least_share: float) -> DataFrame:
-    """field_name, key_text of the keys whose share of all rows is at least least_share."""
-    return profile.where(F.col("share") >= least_share).select(*_KEY).distinct()
+    """field_name, key_text of the keys whose share of all rows is at least least_share.
+
+    A key comes with its selection resolved: every measure that has values has
+    its quantiles, else the profile is not whole and the key is not given.
+    """
+    whole = (F.col("n_values") == 0) | F.col("quantiles").isNotNull()
+    keys = profile.where(F.col("share") >= least_share).groupBy(*_KEY).agg(F.bool_and(whole).alias("whole"))
+    return keys.where("whole").select(*_KEY)
 
 
 TOKEN_MEASURES = ["index", "length", "head_dist", "arity"]

@@ -212,7 +212,7 @@ def packed_fields(sentences: DataFrame, summaries: DataFrame, labels: DataFrame)
     """unpack() over the readable sentences' tokens, pos and head_dist and the summaries' top_pos_vals."""
     from vecloom.operators import rejects
 
-    readable = rejects.separate(rejects.classify_sentences(sentences, rejects.known_labels(labels, "relation_type"))).valid
+    readable = rejects.separate(rejects.classify_sentences(sentences, rejects.label_set(labels, "relation_type"))).valid
     a = stack_cells(readable, "en_ewt_ud_train_sentences", "row_id", ["tokens", "pos", "head_dist"])
     b = stack_cells(summaries, "head_dist_summary", "summary_id", ["top_pos_vals"])
     return unpack(a.unionByName(b))

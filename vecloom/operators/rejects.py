@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions import notation as N
+from vecloom.session import settle
 
 #: The seven fields of a raw line, in order.
 LINE_FIELDS = ("sentence_id", "tokens", "pos", "index", "head_dist", "relation_type", "ariety")
@@ -24,14 +25,26 @@ class Separated:
     failing: DataFrame
 
 
-def known_labels(labels: DataFrame, column: str, most: int = 10_000) -> list[str]:
-    """The valid values of a column, fetched to the driver up to a checked bound."""
+#: Labels that are compared within the expression; more of them are joined.
+MOST_LABELS = 10_000
+
+
+def known_labels(labels: DataFrame, column: str, most: int = MOST_LABELS) -> list[str]:
+    """The valid values of a column, fetched to the driver up to a checked bound; label_set() goes on beyond it."""
     rows = labels.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} labels; join against them instead")
     return sorted(r[0] for r in rows)
 
 
+def label_set(labels: DataFrame, column: str) -> list[str] | DataFrame:
+    """The valid values of a column: a list up to MOST_LABELS of them, else a table of one column `label`."""
+    try:
+        return known_labels(labels, column, MOST_LABELS)
+    except ValueError:
+        return labels.select(F.col(column).alias("label")).where(F.col("label").isNotNull()).distinct()
+
+
 def parse_lines(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
     """lines with the decoded fields as struct `__cells`, the raw text of corrupt lines kept beside.
 
@@ -50,27 +63,43 @@ def _with_parts(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
     return df.withColumns({f"__values_{n}": N.list_values(F.col(f"__kind_{n}"), c) for n, c in cells.items()})
 
 
-def _cell_checks(cells: dict[str, Column], labels: list[str]) -> dict[str, Column]:
-    """The three checks over the cells of one sentence, on the columns that _with_parts() made."""
+def _loose(c: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(c, r"^\s*+[\[{(]|[\]})]\s*+$", " "), r"[,;|/\s]++"), lambda x: x != "")
+
+
+def _relations(cells: dict[str, Column]) -> Column:
+    kind, values = F.col("__kind_relation_type"), F.col("__values_relation_type")
+    items = F.coalesce(values, _loose(cells["relation_type"]))
+    return F.when(N.is_list(kind), items).otherwise(F.transform(items, N.unquoted))
+
+
+def _with_unknown(df: DataFrame, cells: dict[str, Column], labels: list[str] | DataFrame) -> DataFrame:
+    """df with `__unknown`: whether a relation_type element is none of the labels."""
+    if isinstance(labels, list):
+        known = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
+        return df.withColumn("__unknown", F.size(F.array_except(_relations(cells), known)) > 0)
+    df = settle(df.withColumn("__relations", _relations(cells)).withColumn("__row", F.monotonically_increasing_id()))
+    used = df.select("__row", F.explode(F.array_distinct("__relations")).alias("label"))
+    # A label that most rows use meets one row of the labels' table: the anti join may broadcast it, or is split by AQE.
+    bad = used.join(labels, "label", "left_anti").select("__row").distinct().withColumn("__unknown", F.lit(True))
+    return df.join(bad, "__row", "left").withColumn("__unknown", F.coalesce("__unknown", F.lit(False))).drop("__row", "__relations")
+
+
+def _cell_checks(cells: dict[str, Column]) -> dict[str, Column]:
+    """The three checks over the cells of one sentence, on the columns that _with_parts() and _with_unknown() made."""
     kinds = {n: F.col(f"__kind_{n}") for n in CHECKED}
     values = {n: F.col(f"__values_{n}") for n in CHECKED}
     counts = {n: N.value_count(kinds[n], values[n], cells[n]) for n in CHECKED}
     present = {n: F.coalesce(kinds[n] != "blank", F.lit(False)) for n in CHECKED}
     n = F.coalesce(counts["tokens"], F.lit(0))
 
-    def loose(c: Column) -> Column:
-        return F.filter(F.split(F.regexp_replace(c, r"^\s*+[\[{(]|[\]})]\s*+$", " "), r"[,;|/\s]++"), lambda x: x != "")
-
-    known = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-    items = {n: F.coalesce(values[n], loose(cells[n])) for n in ("relation_type", "ariety")}
-    relations = F.when(N.is_list(kinds["relation_type"]), items["relation_type"]).otherwise(F.transform(items["relation_type"], N.unquoted))
     # A quoted number is text, not a whole number: those lists are of the kind `list` or `simple`.
-    raw = F.when(kinds["ariety"].isin("simple", "list"), N.list_items(cells["ariety"])).otherwise(items["ariety"])
+    raw = F.when(kinds["ariety"].isin("simple", "list"), N.list_items(cells["ariety"])).otherwise(F.coalesce(values["ariety"], _loose(cells["ariety"])))
     return {
         "quoting": F.coalesce(kinds["tokens"] == "bad", F.lit(False)) | F.coalesce(kinds["relation_type"] == "bad", F.lit(False)) | F.coalesce(kinds["ariety"] == "bad", F.lit(False)),
         "column_count": (n > 0) & ((present["relation_type"] & (counts["relation_type"] != n)) | (present["ariety"] & (counts["ariety"] != n))),
         "bad_value": (n == 0)
-        | (present["relation_type"] & (F.size(F.array_except(relations, known)) > 0))
+        | (present["relation_type"] & F.col("__unknown"))
         | (present["ariety"] & F.exists(F.array_distinct(raw), lambda x: ~x.rlike(r"^\+?[0-9]++$"))),
     }
 
@@ -90,7 +119,7 @@ def _settled_reason(df: DataFrame, reason: Column) -> DataFrame:
     return df.select(*kept, F.explode_outer(F.array(reason)).alias("reason"))
 
 
-def classify_sentences(sentences: DataFrame, labels: list[str]) -> DataFrame:
+def classify_sentences(sentences: DataFrame, labels: list[str] | DataFrame) -> DataFrame:
     """sentences with `reason`: null for a readable row, else the first fault that holds.
 
     Null or blank tokens are `bad_value`; a null or blank relation_type or
@@ -98,10 +127,10 @@ def classify_sentences(sentences: DataFrame, labels: list[str]) -> DataFrame:
     an own column `reason` in the input is replaced.
     """
     cells = {c: F.col(f"`{c}`") for c in CHECKED}
-    return _settled_reason(_with_parts(sentences, cells), _first_reason(_cell_checks(cells, labels)))
+    return _settled_reason(_with_unknown(_with_parts(sentences, cells), cells, labels), _first_reason(_cell_checks(cells)))
 
 
-def classify_lines(lines: DataFrame, labels: list[str], raw: str = "raw_line") -> DataFrame:
+def classify_lines(lines: DataFrame, labels: list[str] | DataFrame, raw: str = "raw_line") -> DataFrame:
     """lines with the seven decoded fields as columns and `reason`.
 
     A null line has no fields and is `column_count`, as is an empty one. Field
@@ -109,12 +138,12 @@ def classify_lines(lines: DataFrame, labels: list[str], raw: str = "raw_line") -
     """
     line = F.col(f"`{raw}`")
     by_name = {n: F.col(f"{_CELLS}.f{i}") for i, n in enumerate(LINE_FIELDS)}
-    parsed = _with_parts(parse_lines(lines, raw), {n: by_name[n] for n in CHECKED})
+    parsed = _with_unknown(_with_parts(parse_lines(lines, raw), {n: by_name[n] for n in CHECKED}), by_name, labels)
     # Corrupt rows are classified anew: what looks like a wrong count may be a quote without partner.
     line_quoting = line.isNotNull() & ~line.rlike(N.CSV_LINE)
     commas = F.regexp_replace(F.regexp_replace(line, r'"(?:[^"]++|"")*+"', ""), r"[^,]++", "")
     seven = line.isNotNull() & (F.length(commas) == len(LINE_FIELDS) - 1)
-    checks = _cell_checks(by_name, labels)
+    checks = _cell_checks(by_name)
     reason = _first_reason(
         {
             "quoting": line_quoting | (seven & checks["quoting"]),
@@ -134,7 +163,7 @@ def separate(classified: DataFrame) -> Separated:
 
 def failing_rows(sentences: DataFrame, lines: DataFrame, labels: DataFrame, names: tuple[str, str]) -> DataFrame:
     """(src_name, row_id, reason) of the failing rows of both inputs."""
-    known = known_labels(labels, "relation_type")
+    known = label_set(labels, "relation_type")
     a = separate(classify_sentences(sentences, known)).failing
     b = separate(classify_lines(lines, known)).failing
     return a.select(F.lit(names[0]).alias("src_name"), F.col("row_id"), "reason").unionByName(

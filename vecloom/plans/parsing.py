@@ -27,7 +27,7 @@ def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_readable(spark: SparkSession, sf: str) -> DataFrame:
     """The readable sentences of both inputs, cells as delivered."""
-    known = rejects.known_labels(_read(spark, sf, "relation_labels"), "relation_type")
+    known = rejects.label_set(_read(spark, sf, "relation_labels"), "relation_type")
     a = rejects.separate(rejects.classify_sentences(_read(spark, sf, "en_ewt_ud_train_sentences"), known)).valid
     b = rejects.separate(rejects.classify_lines(_read(spark, sf, "sentence_lines"), known)).valid
     cells = [f"`{c}`" for c in rejects.LINE_FIELDS]

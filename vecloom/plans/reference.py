@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecloom.operators import kernels, metrics, outliers, profile, rankstats, sampling, tokens, vectors
 from vecloom.operators.hotkeys import tag
-from vecloom.operators.rejects import classify_sentences, known_labels, separate
+from vecloom.operators.rejects import classify_sentences, label_set, separate
 from vecloom.plans.parsing import P1_SQL
 from vecloom.session import settle
 from vecloom.sources import embedder, manifolds, tables
@@ -114,7 +114,7 @@ def pos_x_head_dist(spark, sf):
 
 def explode_shortest(spark, sf):
     s = _read(spark, sf, "en_ewt_ud_train_sentences")
-    good = separate(classify_sentences(s, known_labels(_read(spark, sf, "relation_labels"), "relation_type"))).valid
+    good = separate(classify_sentences(s, label_set(_read(spark, sf, "relation_labels"), "relation_type"))).valid
     t = tokens.expand_tokens(good.drop("sentence_id").withColumnRenamed("row_id", "sid"))
     return t.groupBy(F.col("sentence_id").alias("row_id")).agg(F.count(F.lit(1)).alias("n"), F.max("word_id").alias("last"), F.sum("index").alias("index_sum"), F.sum("arity").alias("arity_sum"))
 
