@@ -62,3 +62,15 @@ def test_numbers_by_range(spark):
         own = sorted((r for r in got if r.g == g), key=lambda r: r.x)
         assert [r.i for r in own] == list(np.cumsum([r.w for r in own])) and {r.n for r in own} == {sum(r.w for r in own)}
     assert numbered(df.where("false"), [], ["x"], "i").collect() == []
+
+
+def test_whole_groups_as_the_kernels(spark, monkeypatch):
+    from vecloom.operators import kernels as K
+    from vecloom.operators import metrics
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", 64)
+    x = np.random.default_rng(3).normal(size=(200, 5))
+    df = spark.createDataFrame([("g", i, [float(v) for v in row]) for i, row in enumerate(x)] + [("two", i, [float(i)]) for i in range(2)] + [("one", 0, [1.0])], "g string, id bigint, v array<double>")
+    got = {(r.g, r.metric): r for r in metrics.vector_agg(df, ["g"], "id", "v", list(V.NEAREST)).collect()}
+    assert all(abs(got["g", m].value - K.METRICS[m][1](K.Cloud(x))) < 1e-6 and got["g", m].n == 200 for m in V.NEAREST)
+    assert all(got[g, m].value is None for g in ("one",) for m in V.NEAREST) and got["two", "twonn"].value is None

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from vecloom.operators import kernels as K
 from vecloom.operators.sampling import bootstrap_draw, cap_per_group, confidence
-from vecloom.operators.vectors import moments, norm
+from vecloom.operators.vectors import NEAREST, moments, nearest_metrics, norm
 
 #: Vectors of a group that one kernel call takes at most, by cost.
 CAPS = {"fast": 100_000, "heavy": 5_000}
@@ -89,12 +89,14 @@ def _from_moments(df: DataFrame, keys: list[str], vec: str, own: list[str], out:
 def vector_agg(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list[str] | None = None, seed: int = 42, caps: dict[str, int] | None = None) -> DataFrame:
     """keys, metric, value, n, error: every metric of every group.
 
-    Metrics of moments take all vectors. For the others a group is first cut to
-    the cap of their cost by a hash of the id, and its vectors are taken in the
-    order of the ids, so results do not depend on the partitioning. n is the
-    number of vectors taken. Undefined values are null.
+    Metrics of moments take all vectors, and so do those of NEAREST unless a
+    cap for heavy ones is named. For the others a group is first cut to the cap
+    of their cost by a hash of the id, and its vectors are taken in the order
+    of the ids, so results do not depend on the partitioning. n is the number
+    of vectors taken. Undefined values are null.
     """
     metrics = metrics or list(K.METRICS)
+    near = [m for m in metrics if m in NEAREST and "heavy" not in (caps or {})]
     caps = CAPS | (caps or {})
     out = _fields(df, keys, ("metric", T.StringType()), ("value", T.DoubleType()), ("n", T.LongType()), ("error", T.StringType()))
     parts = []
@@ -104,8 +106,11 @@ def vector_agg(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list
     if K.DIRECTION in metrics:
         unit = F.transform(vec, lambda x: x.cast("double") / (norm(F.col(vec)) + 1e-9))
         parts.append(_from_moments(df.select(*keys, unit.alias(vec)), keys, vec, [K.DIRECTION], out))
+    if near:
+        value = F.when(~F.isnan("value") & (F.abs("value") < math.inf), F.col("value")).alias("value")
+        parts.append(nearest_metrics(df, keys, id_, vec, near).select(*keys, "metric", value, "n", F.lit(None).cast("string").alias("error")))
     for cost in ("fast", "heavy"):
-        own = [m for m in metrics if K.METRICS[m][0] == cost and m not in whole and m != K.DIRECTION]
+        own = [m for m in metrics if K.METRICS[m][0] == cost and m not in (*whole, *near, K.DIRECTION)]
         if not own:
             continue
         slim = df.where(F.col(vec).isNotNull()).select(*keys, F.col(id_).alias("__id"), F.col(vec).alias("__v"))

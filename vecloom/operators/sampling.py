@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.operators.ranges import numbered
 from vecloom.session import settle
 
 
@@ -79,24 +80,21 @@ def cap_per_group(df: DataFrame, keys: list[str], ids: list[str], cap: int, seed
 
 
 def pool(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows (all if fewer) with a dense global_idx from 0 in hash order."""
-    kept = df.withColumn("__u", unit_hash(seed, *[F.col(f"`{c}`") for c in ids])).orderBy("__u", *ids).limit(n)
-    return kept.withColumn("global_idx", (F.row_number().over(W.orderBy("__u", *ids)) - 1).cast("bigint")).drop("__u")
+    """n rows (all if fewer) with a dense global_idx from 0 in hash order; rows that are equal in their ids are numbered arbitrarily."""
+    kept = first_per_group(df, [], ids, n, seed).withColumn("__u", unit_hash(seed, *[F.col(f"`{c}`") for c in ids]))
+    return numbered(kept, [], ["__u", *ids], "global_idx").withColumn("global_idx", F.col("global_idx") - 1).drop("__u")
 
 
 def subsamples(pooled: DataFrame, ids: list[str], n_points: int, m: int, seed: int = 42) -> DataFrame:
     """point_id and the rows of n_points samples of m rows without replacement; an error if there are fewer than m rows.
 
-    Every sample is thinned by hash to about twice its size before it is ranked, so the pool may be a whole table.
+    The pool may be a whole table: of each sample, only counts by hash are shuffled.
     """
     n = pooled.count()
     if m > n:
         raise ValueError(f"samples of {m} rows from {n}")
-    points = pooled.crossJoin(F.broadcast(pooled.sparkSession.range(n_points).select(F.col("id").cast("int").alias("point_id"))))
-    u = unit_hash(seed, F.col("point_id"), *[F.col(f"`{c}`") for c in ids])
-    points = points.withColumn("__u", u).where(F.col("__u") < (2 * m + 64) / max(n, 1))
-    place = F.row_number().over(W.partitionBy("point_id").orderBy("__u", *ids))
-    return points.withColumn("__place", place).where(F.col("__place") <= m).drop("__place", "__u")
+    points = pooled.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("point_id"))
+    return first_per_group(points, ["point_id"], ["point_id", *ids], m, seed)
 
 
 def bootstrap_draw(n: int, m: int, replicate: int, seed: int = 42) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.operators.ranges import numbered
+from vecloom.session import settle
 
 #: Vectors of a block of the neighbour search; a task compares two blocks, so this bounds its work and memory.
 BLOCK_ROWS, CHUNK = 4096, 64
@@ -257,6 +258,47 @@ def neighbour_dimensions(neighbours: DataFrame, keys: list[str], k: int = 20) ->
     return per.groupBy(*keys).agg((1 / F.avg("inv")).alias("mle"), F.avg("mom").alias("mom"), F.avg("mada").alias("mada"))
 
 
+#: Metrics that the distances to the nearest neighbours suffice for, and how many each takes.
+NEAREST = {"twonn": 2, "mle": 20, "mada": 20, "mind_ml": 21, "mom": 100}
+
+
+def nearest_metrics(df: DataFrame, keys: list[str], id_: str, vec: str, metrics: list[str] | None = None, max_dim: int = 10) -> DataFrame:
+    """keys, metric, value, n for metrics of NEAREST over whole groups, by exact neighbours found in blocks.
+
+    As the kernels of these names with their defaults, but for equal vectors: a
+    point at distance 0 of another is left out of twonn, mle and mada instead
+    of all being jittered. Groups of two vectors or fewer have null values.
+    """
+    metrics = list(NEAREST) if metrics is None else metrics
+    near = settle(nearest(df, keys, id_, vec, max(NEAREST[m] for m in metrics)))
+    at = lambda k: F.get("rs", k - 1)
+    m = F.size("rs")
+    k, last = F.least(m, F.lit(20)), F.least(m, F.lit(21))
+    apart = at(F.lit(1)) > 0
+    logs = F.aggregate(F.slice("rs", F.lit(1), k - 1), F.lit(0.0), lambda acc, x: acc + F.log(at(k) / x)) / (k - 1)
+    mean = F.aggregate("rs", F.lit(0.0), lambda acc, x: acc + x) / m
+    half = at(F.greatest(F.floor(k / 2).cast("int"), F.lit(1)))
+    rho = F.greatest(F.least(at(F.lit(1)) / at(last), F.lit(1 - 1e-12)), F.lit(1e-12))
+    likely = [F.log((last - 1) * d) + (d - 1) * F.log(rho) + (last - 2) * F.log(1 - F.pow(rho, F.lit(d))) for d in range(1, max_dim + 1)]
+    many = m > 1
+    own = near.select(
+        *keys, F.when(many & apart, logs).alias("mle"), F.when(many & (at(m) > mean), mean / (at(m) - mean)).alias("mom"),
+        F.when(many & apart & (at(k) > half), F.log(F.lit(2.0)) / F.log(at(k) / half)).alias("mada"), *[F.when(many, x).alias(f"__d{d}") for d, x in enumerate(likely, 1)],
+    )
+    best = F.greatest(*[F.sum(f"__d{d}") for d in range(1, max_dim + 1)])
+    dim = F.coalesce(*[F.when(F.sum(f"__d{d}") == best, F.lit(float(d))) for d in range(1, max_dim + 1)])
+    values = {"mle": 1 / F.avg("mle"), "mom": F.avg("mom"), "mada": F.avg("mada"), "mind_ml": dim}
+    wide = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[values[x].alias(f"__{x}") for x in metrics if x != "twonn"])
+    if "twonn" in metrics:
+        t = two_nn(near, keys).select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)], F.col("twonn").alias("__twonn"))
+        cond = F.lit(True)
+        for i, c in enumerate(keys):
+            cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}"))
+        wide = wide.join(t, cond, "left")
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(f"__{x}").alias("value")) for x in metrics])).alias("c")
+    return wide.select(*keys, cells, "n").select(*keys, "c.metric", "c.value", "n")
+
+
 def correlation_integral(df: DataFrame, keys: list[str], id_: str, vec: str, lo: float, hi: float) -> DataFrame:
     """keys, corrint: the slope of the log share of pairs nearer than lo and hi; null where none is nearer than lo."""
     c = pairs_within(df, keys, id_, vec, [lo, hi]).select(*keys, (F.col("within")[0] / F.col("pairs")).alias("a"), (F.col("within")[1] / F.col("pairs")).alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from vecloom.operators import kernels, metrics, outliers, profile, rankstats, sa
 from vecloom.operators.hotkeys import tag
 from vecloom.operators.rejects import classify_sentences, label_set, separate
 from vecloom.plans.parsing import P1_SQL
-from vecloom.session import settle
+from vecloom.session import settle, shared_dir
 from vecloom.sources import embedder, manifolds, tables
 
 POINT_METRICS = ["iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "gride", "mle", "mom", "tle", "corrint", "fishers", "ess", "mada"]
@@ -94,7 +96,7 @@ def least_class_size(spark, sf):
 
 
 def fixed_freq(spark, sf):
-    t = _tokens(spark, sf).where("pos is not null").dropDuplicates(["row_id", "word_id"])
+    t = tokens.keep_first(_tokens(spark, sf).where("pos is not null").select("row_id", "word_id", "pos", "loaded_at"), ["row_id", "word_id"], ["loaded_at"])
     return sampling.balanced_frequency(t.select("pos", "row_id", "word_id"), "pos", ["row_id", "word_id"]).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -133,6 +135,30 @@ def semi_join_reduce(spark, sf):
     return tokens.reduce_to(_read(spark, sf, "en_ewt_ud_train_sentences"), wanted, "row_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def csv_scan(spark, sf):
+    """The sentences written as CSV and read again, three columns of them: values, characters and different values of each."""
+    s = _read(spark, sf, "en_ewt_ud_train_sentences").select("sentence_id", "newdoc_id", "tokens", "pos", "index")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    tables.write_csv(s, path)
+    back = tables.read_csv(spark, path, ["sentence_id", "tokens", "pos"])
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in back.columns])).alias("c")
+    return back.select(one).select("c.*").groupBy("name").agg(F.count("value").alias("n"), F.sum(F.length("value")).alias("chars"), F.count_distinct("value").alias("n_values"))
+
+
+def dense_ids(spark, sf):
+    return tables.dense_id(_read(spark, sf, "en_ewt_ud_train_sentences").select("row_id"), ["row_id"])
+
+
+def pool_sample(spark, sf):
+    p = sampling.pool(_embeddings(spark, sf).select("vec_id"), ["vec_id"], 400)
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_ids"), F.min("global_idx").alias("least"), F.max("global_idx").alias("most"), F.count_distinct("global_idx").alias("n_idx"))
+
+
+def subsample_sizes(spark, sf):
+    s = sampling.subsamples(_embeddings(spark, sf).select("vec_id"), ["vec_id"], 200, 50)
+    return s.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("n_ids"))
+
+
 def first_delivery(spark, sf):
     s = _read(spark, sf, "en_ewt_ud_train_sentences").select("sentence_id", "loaded_at", "row_id")
     return tokens.keep_first(s, ["sentence_id"], ["loaded_at", "row_id"])
@@ -245,6 +271,11 @@ def neighbour_dimensions(spark, sf):
     return d.select("label", *[F.round(c, 5).alias(c) for c in ("mle", "mom", "mada")])
 
 
+def neighbour_metrics(spark, sf):
+    n = vectors.nearest_metrics(_embeddings(spark, sf), ["label"], "vec_id", "embedding")
+    return n.select("label", "metric", F.round("value", 5).alias("value"), "n")
+
+
 def corrint(spark, sf):
     return vectors.correlation_integral(_embeddings(spark, sf), ["label"], "vec_id", "embedding", 1.2, 1.35).withColumn("corrint", F.round("corrint", 5))
 
@@ -342,8 +373,8 @@ _ALL = [
     token_index_counts, token_length_hist, head_dist_hist, arity_hist, topk_pos, topk_relation,
     *[_profile_of(c) for c in ("pos", "index", "length", "relation_type", "arity")], class_profile_head_dist, class_profile_top5,
     exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens, sorted_classes, semi_join_reduce, tensor_shape,
-    first_delivery, balanced_rows, index_form, pos_form, token_vectors, class_layer_metrics, class_layer_bootstrap, bootstrap_heavy, pca3d_tokens, missing_vectors, spearman_table,
-    layer_dim_means, outlier_counts, participation_ratio, vmf_kappa, scatter_matrix, mean_abs_cosine, twonn, neighbour_dimensions, corrint,
+    csv_scan, dense_ids, pool_sample, subsample_sizes, first_delivery, balanced_rows, index_form, pos_form, token_vectors, class_layer_metrics, class_layer_bootstrap, bootstrap_heavy, pca3d_tokens, missing_vectors, spearman_table,
+    layer_dim_means, outlier_counts, participation_ratio, vmf_kappa, scatter_matrix, mean_abs_cosine, twonn, neighbour_dimensions, neighbour_metrics, corrint,
     *[_pooled(h) for h in ("first", "last", "mean")], spectral_metrics, vector_metrics, pca3d, bootstrap_pr, bootstrap_ci_summary, metric_points, metric_correlation,
     spearman_matrix, spearman_cells, minmax_normalise, pivot_metrics, manifold_sweep, metric_labels,
 ]
@@ -447,6 +478,10 @@ _VECTORS = f"""{_FIRST}, pc as (select row_id, word_id, index_class, layer, md5(
 _BY_CLASS = f"{_VECTORS}, e as (select index_class || '|' || layer as label, row_id || '-' || word_id as vec_id, x, j - 1 as dim from tv)"
 
 ORACLE = {
+    "csv_scan": " union all ".join(f"select '{c}' as name, count(nullif({c}, '')) as n, cast(sum(length(nullif({c}, ''))) as bigint) as chars, count(distinct nullif({c}, '')) as n_values from en_ewt_ud_train_sentences" for c in ("sentence_id", "tokens", "pos")),
+    "dense_ids": "select row_id, row_number() over (order by row_id) - 1 as token_id from en_ewt_ud_train_sentences",
+    "pool_sample": "select least(count(*), 400) as n, least(count(*), 400) as n_ids, 0 as least, least(count(*), 400) - 1 as most, least(count(*), 400) as n_idx from embeddings",
+    "subsample_sizes": "select cast(i as integer) as point_id, 50 as n, 50 as n_ids from range(200) s(i)",
     "first_delivery": "select sentence_id, loaded_at, row_id from en_ewt_ud_train_sentences qualify row_number() over (partition by sentence_id order by loaded_at nulls last, row_id) = 1",
     "balanced_rows": f"with n as (select {_TAG} as pos, count(*) as n from sentence_tokens where {_TAG} is not null group by 1) select pos, (select min(n) from n) as n from n",
     "index_form": f"""with {_LISTS}, t as (select row_id, unnest("index"[1:least(len(tokens), len("index"))]) as i, generate_subscripts("index"[1:least(len(tokens), len("index"))], 1) - 1 as word_id from l),
@@ -500,6 +535,17 @@ ORACLE = {
     "neighbour_dimensions": f"""with {_DIST}, q as (select label, id, list(r order by rank) as rs from nb where rank <= 20 group by all having count(*) = 20),
         f as (select label, case when rs[1] > 0 then list_sum(list_transform(rs[1:19], lambda v: ln(rs[20] / v))) / 19 end as inv, list_sum(rs) / 20 as m1, rs[20] as w, rs[10] as h, rs[1] as r1 from q)
         select label, round(1 / avg(inv), 5) as mle, round(avg(case when w > m1 then m1 / (w - m1) end), 5) as mom, round(avg(case when r1 > 0 and w > h then ln(2) / ln(w / h) end), 5) as mada from f group by 1""",
+    "neighbour_metrics": f"""with {_DIST}, q as (select label, id, list(r order by rank) as rs from nb where rank <= 100 group by all),
+        f as (select label, id, rs, len(rs) as m, least(len(rs), 20) as k, least(len(rs), 21) - 1 as j, list_sum(rs) / len(rs) as m1 from q),
+        x as (select label, ln(rs[2] / rs[1]) as x, row_number() over (partition by label order by ln(rs[2] / rs[1]), id) as i, count(*) over (partition by label) as n from f where rs[1] > 0 and m > 1),
+        dd as (select label, d, count(*) * ln(j * d) + (d - 1) * sum(ln(rho)) + (j - 1) * sum(ln(1 - pow(rho, d))) as like_
+            from (select label, j, greatest(least(rs[1] / rs[j + 1], 1 - 1e-12), 1e-12) as rho from f) cross join (select unnest(range(1, 11)) as d) group by label, j, d),
+        v as (select label, 'twonn' as metric, sum(x * -ln(1 - i / n)) / sum(x * x) as value from x where i <= floor(n * 0.9::double) group by 1
+            union all select label, 'mle', 1 / avg(case when rs[1] > 0 then list_sum(list_transform(rs[1:k - 1], lambda v: ln(rs[k] / v))) / (k - 1) end) from f group by 1
+            union all select label, 'mom', avg(case when rs[m] > m1 then m1 / (rs[m] - m1) end) from f group by 1
+            union all select label, 'mada', avg(case when rs[1] > 0 and rs[k] > rs[k // 2] then ln(2) / ln(rs[k] / rs[k // 2]) end) from f group by 1
+            union all select label, 'mind_ml', arg_max(d, (like_, -d)) from dd group by 1)
+        select label, metric, round(value, 5) as value, n from v join (select label, count(*) as n from f group by 1) using (label)""",
     "corrint": f"with {_DIST}, c as (select label, avg((r < 1.2::double)::int) as a, avg((r < 1.35::double)::int) as b from d group by 1) select label, round(case when a > 0 then (ln(b) - ln(a)) / (ln(1.35::double) - ln(1.2::double)) end, 5) as corrint from c",
     "pooled_first": _pooled_sql("min"),
     "pooled_last": _pooled_sql("max"),

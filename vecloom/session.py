@@ -27,6 +27,9 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
     )
 
 
+_settled: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of this application in spark.checkpoint.dir, which all executors share.
 
@@ -39,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + _local_dir()
-    return f"{at.rstrip('/')}/vecloom-{spark.sparkContext.applicationId}"
+    folder = f"{at.rstrip('/')}/vecloom-{spark.sparkContext.applicationId}"
+    _settled[folder] = spark
+    return folder
 
 
 @lru_cache(maxsize=1)
@@ -50,9 +55,6 @@ def _local_dir() -> str:
     return at
 
 
-_settled: dict[str, SparkSession] = {}
-
-
 def release() -> None:
     """Deletes what settle() wrote in this process; frames that read it can't be used any more. Done at exit, too."""
     while _settled:

@@ -11,18 +11,24 @@ from pyspark.sql import types as T
 from vecloom.operators.ranges import numbered
 
 
-def read_csv(spark: SparkSession, path: str | None = None, columns: list[str] | None = None, env: str = "CSV_PATH", schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | None = None, columns: list[str] | None = None, env: str = "CSV_PATH", schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """A CSV file with a header, quotes doubled inside quoted fields, fields of several lines; all columns as text.
 
     Without a path, the environment variable `env` names it. Only the named
-    columns are read.
+    columns are read. A file whose fields may span lines is read by one task;
+    where none does, multi_line=False lets Spark split it.
     """
     path = path or os.environ[env]
-    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     df = (r.schema(schema) if schema else r).csv(path)
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header, quotes doubled inside quoted fields, as read_csv() takes it; null and empty text are both empty fields."""
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A parquet, ORC, JSON or CSV table, by the ending of its name unless fmt says."""
     fmt = fmt or path.rstrip("/").rpartition(".")[2]
