@@ -74,3 +74,21 @@ def test_whole_groups_as_the_kernels(spark, monkeypatch):
     got = {(r.g, r.metric): r for r in metrics.vector_agg(df, ["g"], "id", "v", list(V.NEAREST)).collect()}
     assert all(abs(got["g", m].value - K.METRICS[m][1](K.Cloud(x))) < 1e-6 and got["g", m].n == 200 for m in V.NEAREST)
     assert all(got[g, m].value is None for g in ("one",) for m in V.NEAREST) and got["two", "twonn"].value is None
+
+
+def test_spearman_by_pairs_and_side_by_side(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vecloom.operators import rankstats
+
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(0, 4)), float(a), float(rng.normal()), 1.0) for a in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    want = None
+    for share in (1 / 4096, 1 / 100, 2.0):  # all hot, some, none
+        monkeypatch.setattr(rankstats, "HOT_SHARE", share)
+        for lacking in (False, True):
+            own = df.unionByName(df.limit(1).select("a", F.lit(None).cast("double").alias("b"), "c", "d")).where("b is not null or a is not null") if lacking else df
+            got = {(r.m1, r.m2): r.rho for r in rankstats.spearman(own.where("b is not null") if not lacking else own, ["a", "b", "c", "d"]).collect() if "b" in (r.m1, r.m2)}
+            want = want or got
+            assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)

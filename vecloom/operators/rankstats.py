@@ -45,17 +45,8 @@ def _with_rank(long: DataFrame, ranks: DataFrame, v: str, value: str, name: str)
     return near.where(F.col(name).isNotNull()).unionByName(rest)
 
 
-def spearman(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """m1, m2, n, rho for every two metrics, over the rows where both are finite; null for fewer than three rows.
-
-    Ranks are average ranks within the rows of the pair; a metric is ranked
-    once for all partners that have every row. The correlation is summed over
-    distinct value pairs, so repeated values cost nothing. A constant column
-    has a null correlation.
-    """
-    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_finite(F.col(f"`{m}`"))).alias(f"m{i}") for i, m in enumerate(metrics)]).first()
-    sides = _sides(metrics, {m: total[f"m{i}"] for i, m in enumerate(metrics)}, total["n"])
-    ranks = _ranks(df, sides)
+def _sums_by_pairs(df: DataFrame, metrics: list[str], sides: dict[tuple[str, str], int], ranks: DataFrame) -> DataFrame:
+    """m1, m2 and the sums of the ranks, over the distinct value pairs of every two metrics."""
     two = [
         F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), F.lit(sides[a, b]).alias("vx"), F.lit(sides[b, a]).alias("vy"), _finite(F.col(f"`{a}`")).alias("x"), _finite(F.col(f"`{b}`")).alias("y"))
         for a, b in combinations(metrics, 2)
@@ -64,10 +55,49 @@ def spearman(df: DataFrame, metrics: list[str]) -> DataFrame:
     long = settle(long.groupBy("m1", "m2", "vx", "vy", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     r = _with_rank(_with_rank(long, ranks, "vx", "x", "rx"), ranks, "vy", "y", "ry")
     w = F.col("n").cast("double")
-    s = r.groupBy("m1", "m2").agg(
+    return r.groupBy("m1", "m2").agg(
         F.sum("n").alias("n"), F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"),
         F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"), F.sum(w * F.col("ry") * F.col("ry")).alias("syy"), F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"),
     )
+
+
+def _sums_side_by_side(df: DataFrame, metrics: list[str], sides: dict[tuple[str, str], int], ranks: DataFrame) -> DataFrame:
+    """The same where every row has all metrics: a row gets each rank once, and no pairs are made."""
+    cold = {r.v for r in ranks.where("not hot").select("v").distinct().collect()}  # rankings
+    wide = df.select(*[_finite(F.col(f"`{m}`")).alias(f"x{i}") for i, m in enumerate(metrics)])
+    for i, m in enumerate(metrics):
+        v = sides[m, metrics[i - 1]]
+        own = ranks.where(F.col("v") == v).select(F.col("value").alias(f"x{i}"), F.col("rank").alias(f"r{i}"), "hot")
+        hot, rest = F.broadcast(own.where("hot").drop("hot")), own.where("not hot").drop("hot")  # at most 1 / HOT_SHARE rows
+        if v not in cold:
+            wide = wide.join(hot, f"x{i}").drop(f"x{i}")
+            continue
+        near = wide.join(hot, f"x{i}", "left")
+        far = near.where(F.col(f"r{i}").isNull()).drop(f"r{i}").join(rest, f"x{i}")
+        wide = near.where(F.col(f"r{i}").isNotNull()).unionByName(far).drop(f"x{i}")
+    k = range(len(metrics))
+    r = lambda i: F.col(f"r{i}")
+    one = wide.agg(F.count(F.lit(1)).alias("n"), *[F.sum(r(i)).alias(f"s{i}") for i in k], *[F.sum(r(i) * r(j)).alias(f"s{i}_{j}") for i in k for j in k if i <= j])
+    two = [
+        F.struct(F.lit(metrics[i]).alias("m1"), F.lit(metrics[j]).alias("m2"), F.col("n"), *[F.col(c).alias(n) for c, n in ((f"s{i}", "sx"), (f"s{j}", "sy"), (f"s{i}_{i}", "sxx"), (f"s{j}_{j}", "syy"), (f"s{i}_{j}", "sxy"))])
+        for i, j in combinations(k, 2)
+    ]
+    return one.select(F.explode(F.array(*two)).alias("p")).select("p.*")
+
+
+def spearman(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """m1, m2, n, rho for every two metrics, over the rows where both are finite; null for fewer than three rows.
+
+    Ranks are average ranks within the rows of the pair; a metric is ranked
+    once for all partners that have every row. Where rows lack values, the
+    correlation is summed over distinct value pairs, so repeated values cost
+    nothing. A constant column has a null correlation.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_finite(F.col(f"`{m}`"))).alias(f"m{i}") for i, m in enumerate(metrics)]).first()
+    there = {m: total[f"m{i}"] for i, m in enumerate(metrics)}
+    sides = _sides(metrics, there, total["n"])
+    complete = total["n"] > 0 and all(n == total["n"] for n in there.values())
+    s = (_sums_side_by_side if complete else _sums_by_pairs)(df, metrics, sides, _ranks(df, sides))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     var = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
     return s.select("m1", "m2", "n", F.when((F.col("n") >= 3) & (var > 0), cov / F.sqrt(var)).alias("rho"))
