@@ -87,7 +87,7 @@ class ProportionalSample:
         names = spark.createDataFrame(sorted({(r.field_name, r.category) for r in wanted if r.category is not None}), "field_name string, category string")
         long = rows.select(*id_cols, R.random_key(seed, *id_cols).alias("key"), F.explode(kinds).alias("x"))
         long = long.select("x.field_name", "x.category", *ids, "key", R.bucket_of(F.col("key"), R.bucket_count(n_rows)).alias("bucket"))
-        long = long.join(names, _CAT)
+        long = long.join(F.broadcast(names), _CAT)  # no more than the targets, which the driver holds, here and below
         offsets = settle(R.with_offsets(long.groupBy(*_CAT, "bucket").agg(F.count(F.lit(1)).alias("n")), _CAT, "n"))
 
         there = {(r.field_name, r.category): r.n for r in offsets.groupBy(*_CAT).agg(F.sum("n").alias("n")).collect()}  # no more than names
@@ -103,13 +103,13 @@ class ProportionalSample:
             ]
         self.seated = spark.createDataFrame(out, _TARGET)
         # Only buckets that start at or before the last wanted rank are shuffled and sorted.
-        most = self.seated.groupBy(*_CAT).agg(F.max("seats").alias("most"))
+        most = F.broadcast(self.seated.groupBy(*_CAT).agg(F.max("seats").alias("most")))
         last = offsets.join(most, _CAT).where(F.col("before") < F.col("most")).groupBy(*_CAT).agg(F.max("bucket").alias("last"))
-        near = long.join(last, _CAT).where(F.col("bucket") <= F.col("last")).drop("last")
+        near = long.join(F.broadcast(last), _CAT).where(F.col("bucket") <= F.col("last")).drop("last")
         place = F.row_number().over(W.partitionBy(*_CAT, "bucket").orderBy("key", *ids))
         ranked = near.withColumn("place", place).join(offsets.select(*_CAT, "bucket", "before"), [*_CAT, "bucket"])
         ranked = ranked.withColumn("rank", (F.col("before") + F.col("place")).cast("bigint"))
-        seated = self.seated.select("target_id", *_CAT, "target_share", "seats")
+        seated = F.broadcast(self.seated.select("target_id", *_CAT, "target_share", "seats"))
         priority = F.when(F.col("target_share") > 0, (F.col("rank") - 0.5) / F.col("target_share")).otherwise(F.lit(inf))
         self.rows = ranked.join(seated, _CAT).where(F.col("rank") <= F.col("seats")).select("target_id", *_CAT, *ids, "rank", priority.alias("priority"))
 
