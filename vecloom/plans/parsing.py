@@ -124,7 +124,23 @@ P1_READABLE_SQL = f"""
     from en_ewt_ud_train_sentences where row_id not in (select row_id from failing where src_name = 'en_ewt_ud_train_sentences')
     union all select 'sentence_lines', line_id, f[1], f[2], f[3], f[4], f[5], f[6], f[7] from lines"""
 
+# A value that holds a delimiter, quote or bracket is quoted, so the values of a packed cell are those of the rules above, whatever its notation.
+_GAP = r"\s*[,;|/]\s*|\s+"
+P4_SQL = f"""
+    with failing as ({P1_SQL}), good as (select * from en_ewt_ud_train_sentences where row_id not in (select row_id from failing where src_name = 'en_ewt_ud_train_sentences')), cells as (
+        select 'en_ewt_ud_train_sentences' as src_name, row_id, 'tokens' as field_name, tokens as cell from good union all select 'en_ewt_ud_train_sentences', row_id, 'pos', pos from good
+        union all select 'en_ewt_ud_train_sentences', row_id, 'head_dist', head_dist from good union all select 'head_dist_summary', summary_id, 'top_pos_vals', top_pos_vals from head_dist_summary
+    ), packed as (select * exclude cell, trim(cell, {_BLANKS}) as c from cells where cell is not null and not regexp_matches(cell, {_q(_LIST)})),
+    cores as (select * exclude c, case when c like '[%]' or c like '{{%}}' or c like '(%)' then trim(c[2:-2], {_BLANKS}) else c end as core from packed),
+    parts as (select * exclude core, regexp_extract_all(core, {_q(_VALUE + "|" + _GAP)}) as parts from cores),
+    pieces as (select * exclude parts, unnest(parts) as x, generate_subscripts(parts, 1) as k from parts),
+    slots as (select *, regexp_full_match(x, {_q(_GAP)}) as gap from pieces),
+    items as (select *, cast(1 + sum(gap::int) over (partition by src_name, row_id, field_name order by k) as bigint) as item_no from slots)
+    select src_name, row_id, field_name, item_no, case when x[1] in (chr(39), '"') then replace(x[2:-2], x[1] || x[1], x[1]) else x end as item
+    from items where not gap and len(x) > 0 and x <> repeat(chr(39), 2) and x <> '""'"""
+
 ORACLE = {
+    "p4_found": P4_SQL,
     "p1_found": P1_SQL,
     "p1_readable": P1_READABLE_SQL,
     "p1_reasons": f"select src_name, reason, count(*) as n_rows from ({P1_SQL}) group by all",
