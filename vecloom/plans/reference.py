@@ -456,11 +456,15 @@ _PY = rf"""(?:{_STR}(?:\s*{_STR})*|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?|None|True|Fa
 _PY_LIST = rf"""^\s*\[\s*(?:{_PY}\s*(?:,\s*{_PY}\s*)*(?:,\s*)?)?\]\s*$"""
 
 
+#: Of a string literal: escapes resolved.
+_UNESCAPED = r"""array_to_string(list_transform(regexp_extract_all(y[2:-2], '\\x[0-9a-fA-F]{2}|\\.|[^\\]+'), lambda z: case when z like '\x%' and len(z) = 4 then chr(cast('0x' || z[3:4] as integer)) when z[1] = '\' then z[2:] else z end), '')"""
+
+
 def _elements(c: str, malformed: str = "wrap") -> str:
     quoted = f"trim({c})"
     other = f"[{quoted}]" if malformed == "wrap" else f"case when {quoted} like '[%]' then [] else [{quoted}] end"
     return f"""case when {c} is null then [] when regexp_matches({quoted}, {_quote(_PY_LIST)}) then list_transform(regexp_extract_all({quoted}, {_quote(_PY)}),
-        lambda x: case when x[1] in (chr(39), '"') then x[2:-2] when x = 'None' then null else x end) else {other} end"""
+        lambda x: case when x[1] in (chr(39), '"') then array_to_string(list_transform(regexp_extract_all(x, {_quote(_STR)}), lambda y: {_UNESCAPED}), '') when x = 'None' then null else x end) else {other} end"""
 
 
 def _quote(text: str) -> str:
@@ -487,6 +491,12 @@ ORACLE = {
     "index_form": f"""with {_LISTS}, t as (select row_id, unnest("index"[1:least(len(tokens), len("index"))]) as i, generate_subscripts("index"[1:least(len(tokens), len("index"))], 1) - 1 as word_id from l),
         c as (select row_id, word_id, least(try_cast(i as integer), 10) as k from t where regexp_full_match(trim(i), '[-+]?[0-9]+') and try_cast(i as integer) >= 1)
         select cast(k as varchar) as index_class, count(*) as n, count(distinct row_id) as n_sentences, cast(max(word_id) as integer) as last from c group by 1""",
+    "expanded_tokens": f"""with {_LISTS.replace("select row_id,", "select row_id, sentence_id,")},
+        n as (select *, least(len(tokens), len(pos), len("index"), len(head_dist), len(relation_type), len(ariety)) as n from l),
+        t as (select row_id, sentence_id, unnest(range(n)) as i, tokens, pos, "index", head_dist, relation_type, ariety from n),
+        w as (select *, coalesce(tokens[i + 1], 'None') as word from t)
+        select sentence_id, row_id, cast(i as integer) as word_id, word, upper(pos[i + 1]) as pos, try_cast("index"[i + 1] as double) as "index", cast(length(word) as integer) as length, try_cast(head_dist[i + 1] as double) as head_dist,
+            relation_type[i + 1] as relation_type, try_cast(ariety[i + 1] as double) as arity, replace(replace(replace(lower(replace(word, 'İ', 'i̇')), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's') as word_norm from w""",
     "pos_form": f"""with l as (select row_id, {_elements("tokens", "empty")} as tokens, {_elements("pos", "empty")} as pos from en_ewt_ud_train_sentences),
         t as (select row_id, unnest(pos[1:least(len(tokens), len(pos))]) as pos, generate_subscripts(pos[1:least(len(tokens), len(pos))], 1) - 1 as word_id from l)
         select row_id, count(*) as n, cast(sum(word_id) as bigint) as places from t where coalesce(pos not in ('X', 'SYM', 'INTJ', 'PART'), true) group by 1""",
