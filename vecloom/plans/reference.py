@@ -12,6 +12,7 @@ from vecloom.operators import kernels, metrics, outliers, profile, rankstats, sa
 from vecloom.operators.hotkeys import tag
 from vecloom.operators.rejects import classify_sentences, label_set, separate
 from vecloom.plans.parsing import P1_SQL
+from vecloom.schema import METRIC_BY_LAYER
 from vecloom.session import settle, shared_dir
 from vecloom.sources import embedder, manifolds, tables
 
@@ -145,6 +146,21 @@ def csv_scan(spark, sf):
     return back.select(one).select("c.*").groupBy("name").agg(F.count("value").alias("n"), F.sum(F.length("value")).alias("chars"), F.count_distinct("value").alias("n_values"))
 
 
+def first_sentences(spark, sf):
+    return tables.first_rows(_read(spark, sf, "en_ewt_ud_train_sentences").select("row_id", "sentence_id", "tokens"), "row_id", 100)
+
+
+def layer_table(spark, sf):
+    """A metric of every label as a layer in the ten columns, written as CSV and read again."""
+    p = vectors.participation(_embeddings(spark, sf), ["label"], "embedding")
+    n = _embeddings(spark, sf).where("embedding is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n_tokens"))
+    p = p.join(n, "label").select("label", F.lit("pr").alias("metric"), F.round("pr", 6).alias("mean"), F.round("pr", 6).alias("ci_low"), F.round("pr", 6).alias("ci_high"), "n_tokens")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    tables.write_results(tables.layer_rows(p, "synthetic", "syn", "label", "mean", "embeddings"), path, "csv")
+    back = tables.read_any(spark, path, "csv").select(*METRIC_BY_LAYER)
+    return back.withColumns({"layer": F.col("layer").cast("int"), "n_tokens": F.col("n_tokens").cast("bigint")} | {c: F.col(c).cast("double") for c in ("mean", "ci_low", "ci_high")})
+
+
 def dense_ids(spark, sf):
     return tables.dense_id(_read(spark, sf, "en_ewt_ud_train_sentences").select("row_id"), ["row_id"])
 
@@ -373,7 +389,7 @@ _ALL = [
     token_index_counts, token_length_hist, head_dist_hist, arity_hist, topk_pos, topk_relation,
     *[_profile_of(c) for c in ("pos", "index", "length", "relation_type", "arity")], class_profile_head_dist, class_profile_top5,
     exclude_class_tokens, first_word_removed, index_classes, least_class_size, fixed_freq, fixed_type, pos_x_right_left, pos_x_head_dist, explode_shortest, expanded_tokens, sorted_classes, semi_join_reduce, tensor_shape,
-    csv_scan, dense_ids, pool_sample, subsample_sizes, first_delivery, balanced_rows, index_form, pos_form, token_vectors, class_layer_metrics, class_layer_bootstrap, bootstrap_heavy, pca3d_tokens, missing_vectors, spearman_table,
+    csv_scan, first_sentences, layer_table, dense_ids, pool_sample, subsample_sizes, first_delivery, balanced_rows, index_form, pos_form, token_vectors, class_layer_metrics, class_layer_bootstrap, bootstrap_heavy, pca3d_tokens, missing_vectors, spearman_table,
     layer_dim_means, outlier_counts, participation_ratio, vmf_kappa, scatter_matrix, mean_abs_cosine, twonn, neighbour_dimensions, neighbour_metrics, corrint,
     *[_pooled(h) for h in ("first", "last", "mean")], spectral_metrics, vector_metrics, pca3d, bootstrap_pr, bootstrap_ci_summary, metric_points, metric_correlation,
     spearman_matrix, spearman_cells, minmax_normalise, pivot_metrics, manifold_sweep, metric_labels,
@@ -483,6 +499,9 @@ _BY_CLASS = f"{_VECTORS}, e as (select index_class || '|' || layer as label, row
 
 ORACLE = {
     "csv_scan": " union all ".join(f"select '{c}' as name, count(nullif({c}, '')) as n, cast(sum(length(nullif({c}, ''))) as bigint) as chars, count(distinct nullif({c}, '')) as n_values from en_ewt_ud_train_sentences" for c in ("sentence_id", "tokens", "pos")),
+    "first_sentences": "select row_id, sentence_id, tokens from en_ewt_ud_train_sentences order by row_id limit 100",
+    "layer_table": f"""with {_PR} select 'synthetic' as model, 'syn' as model_tag, 'mean' as word_rep_mode, 'pr' as metric, cast(label as integer) as layer, round(pr, 6) as mean, round(pr, 6) as ci_low, round(pr, 6) as ci_high, n_tokens,
+        'embeddings' as source_csv from pi join (select label, count(embedding) as n_tokens from embeddings group by 1) using (label)""",
     "dense_ids": "select row_id, row_number() over (order by row_id) - 1 as token_id from en_ewt_ud_train_sentences",
     "pool_sample": "select least(count(*), 400) as n, least(count(*), 400) as n_ids, 0 as least, least(count(*), 400) - 1 as most, least(count(*), 400) as n_idx from embeddings",
     "subsample_sizes": "select cast(i as integer) as point_id, 50 as n, 50 as n_ids from range(200) s(i)",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 # Names under which a logical column may come, first present wins.
 ALIASES: dict[str, tuple[str, ...]] = {
     "sentence_id": ("sentence_id", "sent_id", "sid", "SentenceID"),
@@ -19,21 +16,11 @@ ALIASES: dict[str, tuple[str, ...]] = {
 INDEX_CLASS_ALIASES = ("index", "token_index", "positions", "position", "idx", "INDEX", "Index")
 REQUIRED = ("sentence_id", "tokens")
 
-METRIC_BY_LAYER = "model string, model_tag string, word_rep_mode string, metric string, layer int, mean double, ci_low double, ci_high double, n_tokens bigint, source_csv string"
-METRIC_BY_CLASS = (
-    "subset string, model string, feature string, class string, metric string, layer int, mean double, ci_low double, ci_high double, "
-    "n_tokens bigint, word_rep_mode string, source_csv string"
-)
+# The columns of the result tables, by layer and by class and layer.
+METRIC_BY_LAYER = ("model", "model_tag", "word_rep_mode", "metric", "layer", "mean", "ci_low", "ci_high", "n_tokens", "source_csv")
+METRIC_BY_CLASS = ("subset", "model", "feature", "class", "metric", "layer", "mean", "ci_low", "ci_high", "n_tokens", "word_rep_mode", "source_csv")
 
 
 def resolve(columns: list[str], logical: str, aliases: tuple[str, ...] | None = None) -> str | None:
     """The column that stands for a logical one, by exact case, or None."""
     return next((a for a in aliases or ALIASES[logical] if a in columns), None)
-
-
-def with_logical_names(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """The logical columns of df under their own names; a missing optional one is absent, a missing required one raises."""
-    found = {name: at for name in ALIASES if (at := resolve(df.columns, name))}
-    if missing := [r for r in required if r not in found]:
-        raise ValueError(f"no column for {', '.join(missing)} among {', '.join(df.columns)}")
-    return df.select(*[F.col(f"`{at}`").alias(name) for name, at in found.items()])

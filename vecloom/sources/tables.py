@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.operators.ranges import numbered
+from vecloom.schema import METRIC_BY_CLASS, METRIC_BY_LAYER
 
 
 def read_csv(spark: SparkSession, path: str | None = None, columns: list[str] | None = None, env: str = "CSV_PATH", schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
@@ -55,7 +56,7 @@ def result_rows(stats: DataFrame, subset: str, model: str, feature: str, cls: st
         F.lit(subset).alias("subset"), F.lit(model).alias("model"), F.lit(feature).alias("feature"), F.col(cls).cast("string").alias("class"), "metric",
         F.col(layer).cast("int").alias("layer"), *[finite_or_null(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")],
         F.col("n_tokens").cast("bigint").alias("n_tokens"), F.lit(word_rep_mode).alias("word_rep_mode"), F.lit(source).alias("source_csv"),
-    )
+    ).select(*METRIC_BY_CLASS)
 
 
 def layer_rows(stats: DataFrame, model: str, tag: str, layer: str, word_rep_mode: str, source: str) -> DataFrame:
@@ -63,7 +64,7 @@ def layer_rows(stats: DataFrame, model: str, tag: str, layer: str, word_rep_mode
     return stats.select(
         F.lit(model).alias("model"), F.lit(tag).alias("model_tag"), F.lit(word_rep_mode).alias("word_rep_mode"), "metric", F.col(layer).cast("int").alias("layer"),
         *[finite_or_null(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")], F.col("n_tokens").cast("bigint").alias("n_tokens"), F.lit(source).alias("source_csv"),
-    )
+    ).select(*METRIC_BY_LAYER)
 
 
 def write_results(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
