@@ -51,12 +51,13 @@ def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [f for k in keys for f in df.schema.fields if f.name == k]
 
 
-def moments(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
+def moments(df: DataFrame, keys: list[str], vec: str, outer: bool = True) -> DataFrame:
     """keys, n, sums, scatter: per group the number of vectors, their sum and the flat sum of outer products.
 
     Every task adds up its own vectors; only sums are shuffled, merged in two
     steps, so a group of any size costs no task more than MERGE_PARTS sums.
     Vectors with nulls or NaN are left out; those of a group must have one length.
+    Without `outer`, scatter is empty.
     """
     schema = T.StructType([*_key_fields(df, keys), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("scatter", T.ArrayType(T.DoubleType()))])
 
@@ -68,11 +69,12 @@ def moments(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
                 key = tuple(None if pd.isna(k) else k for k in key)
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in g["__v"]])
                 x = x[np.isfinite(x).all(axis=1)]
-                got = acc.setdefault(key, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1])), int(g["__p"].iloc[0])])
+                got = acc.setdefault(key, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]) if outer else 0), int(g["__p"].iloc[0])])
                 got[0] += len(x)
                 got[1] += x.sum(axis=0)
-                got[2] += x.T @ x
-            if sum(8 * len(s) * (len(s) + 1) for _, s, _, _ in acc.values()) > HELD_BYTES:
+                if outer:
+                    got[2] += x.T @ x
+            if sum(8 * (s.size + c.size) for _, s, c, _ in acc.values()) > HELD_BYTES:
                 yield table(acc)
                 acc = {}
         yield table(acc)
@@ -121,12 +123,12 @@ def participation(df: DataFrame, keys: list[str], vec: str, eps: float = 1e-12)
 
 
 def vmf_kappa(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """keys, vmf_kappa: concentration of the directions; null for fewer than two vectors."""
-    unit = df.select(*keys, norm(F.col(vec)).alias("__n"), F.posexplode(F.transform(F.col(vec), lambda x: x.cast("double"))).alias("dim", "x"))
-    per_dim = unit.groupBy(*keys, "dim").agg(F.avg(F.col("x") / (F.col("__n") + 1e-9)).alias("m"), F.count(F.lit(1)).alias("n"))
-    r = per_dim.groupBy(*keys).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("r"), F.count(F.lit(1)).alias("d"), F.max("n").alias("n"))
+    """keys, vmf_kappa: concentration of the directions, from their sum; null for fewer than two vectors."""
+    unit = df.withColumn("__n", norm(F.col(vec))).select(*keys, F.transform(vec, lambda x: x.cast("double") / (F.col("__n") + 1e-9)).alias("__unit"))
+    d = F.size("sums")
+    m = moments(unit, keys, "__unit", outer=False).select(*keys, "n", d.alias("d"), (norm(F.col("sums")) / F.greatest("n", F.lit(1))).alias("r"))
     k = F.greatest(F.col("r") * (F.col("d") - F.col("r") * F.col("r")) / (1 - F.col("r") * F.col("r") + 1e-9), F.lit(0.0))
-    return r.select(*keys, F.when(F.col("n") >= 2, F.when(F.col("r") < 1e-9, F.lit(0.0)).otherwise(k)).alias("vmf_kappa"))
+    return m.select(*keys, F.when(F.col("n") >= 2, F.when(F.col("r") < 1e-9, F.lit(0.0)).otherwise(k)).alias("vmf_kappa"))
 
 
 def mean_abs_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
