@@ -94,6 +94,18 @@ def p7_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).plan.select("mix_id", "source", "weight", "max_repeats", "size", *[F.round(c, 3).alias(c) for c in ("wanted", "given")])
 
 
+def p7_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """Per mix: uses beyond max_repeats, uses that come twice or leave a gap, and whether the mix has within 1 % the tokens that it was to have."""
+    mix = _mix(spark, sf)
+    most = mix.plan.select("mix_id", "source", "max_repeats")
+    by_doc = mix.rows.groupBy("mix_id", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("use_no").alias("last"), F.count_distinct("use_no").alias("different"))
+    odd = by_doc.join(most, ["mix_id", "source"]).groupBy("mix_id").agg(
+        F.count(F.when(F.col("last") > F.col("max_repeats"), 1)).alias("n_over"), F.count(F.when((F.col("different") != F.col("n")) | (F.col("last") != F.col("n")), 1)).alias("n_odd")
+    )
+    r = mix.report().groupBy("mix_id").agg((F.abs(F.sum("tokens") - F.sum("given")) <= 0.01 * F.sum("given")).alias("reached"))
+    return r.join(odd, "mix_id")
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).rows
 
@@ -107,7 +119,7 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_types, p5_phrases, p6_found, p6_containers, p6_totals, p6_report, p7_found, p7_plan, p7_report, p7_mix, p8_found, p8_restored)
+    every = (p2_found, p2_report, p2_sample, p5_found, p5_terms, p5_types, p5_phrases, p6_found, p6_containers, p6_totals, p6_report, p7_found, p7_plan, p7_uses, p7_report, p7_mix, p8_found, p8_restored)
     return {f.__name__: f for f in every}
 
 
@@ -169,6 +181,7 @@ ORACLE = {
         l as (select mix_id, arg_min(level, (ratio, source)) as level from o where ratio > level group by 1)
         select mix_id, source, weight, max_repeats, cast(size as bigint) as size, round(wanted, 3) as wanted, round(case when weight > 0 then least(most, weight * coalesce(level, 'inf'::double)) else 0 end, 3) as given
         from m left join l using (mix_id)""",
+    "p7_uses": "select mix_id, true as reached, 0 as n_over, 0 as n_odd from mix_targets group by 1",
     "p7_found": """
         with s as (select source, sum(coalesce(strlen(text), 0)) as size from documents where source is not null group by 1),
         t as (select sum(size) as total from s)
