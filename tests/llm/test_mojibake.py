@@ -122,3 +122,10 @@ def test_passages_with_little_ascii(spark):
     assert {r.doc_id for r in repair.found().collect()} == {*bad, 104, 105}
     restored = {r.doc_id: r.restored for r in repair.restored().collect()}
     assert restored == {**{i: clean[k] for i, (k, _) in bad.items()}, 104: clean[0], 105: clean[4]}
+
+
+def test_null_ids(spark):
+    rows = [(None, "a\ufffd"), (None, "cafÃ© Zoë"), (5, "café Zoë"), (6, "ZoÃ« Zoë café")]
+    repair = M.Repair(spark.createDataFrame([(i, t, "") for i, t in rows], DOCS))
+    assert {r.doc_id for r in repair.found().collect()} == {None, 6}
+    assert sorted(((r.doc_id, r.restored, r.n_lost) for r in repair.restored().collect()), key=repr) == [(6, "Zoë Zoë café", 0), (None, "a\ufffd", 1), (None, "café Zoë", 0)]

@@ -439,10 +439,11 @@ class Repair:
         # Words too short to judge are restored where the document has others of their chain, as in found().
         others = lambda x: F.filter("fixes", lambda y: (y["chain"] == x["chain"]) & ((y["strength"] == 2) | ((y["strength"] > 0) & (y["word"] != x["word"]) & (x["strength"] > 0))))
         fixes = fixes.select("doc_id", F.filter("fixes", lambda x: (x["strength"] == 2) | (F.size(others(x)) > 0)).alias("fixes")).where(F.size("fixes") > 0)
-        lost = self.doc_words.where("lost").select("doc_id").distinct()
-        wanted = fixes.join(lost, "doc_id", "full")
+        lost = self.doc_words.where("lost").select("doc_id", F.lit(None).cast(fixes.schema["fixes"].dataType).alias("fixes"))
+        # Null ids are an id, here as in found().
+        wanted = fixes.unionByName(lost).groupBy(F.col("doc_id").alias("id")).agg(F.first("fixes", ignorenulls=True).alias("fixes"))
         out = "doc_id bigint, restored string, n_restored bigint, n_lost bigint"
-        return self.docs.join(wanted, "doc_id").select("doc_id", "text", "fixes").mapInPandas(_restore, out)
+        return self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "fixes").mapInPandas(_restore, out)
 
 
 def _restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
