@@ -60,6 +60,39 @@ def test_a_missing_key_fails(spark):
         embedder.attach(t, v, missing="fail").collect()
 
 
+def test_tokens_are_embedded_where_they_stand(spark):
+    """As by pieces, in every pooling; sentences reach over batches, repeated rows count once, and null ids are like others."""
+    rows = [(s, w, f"{'äb' * ((s or 7) % 4)}w{w}", 1) for s in (1, 2, None) for w in range(9)] + [(2, 3, "later", 2), (2, 3, "latest", None), (2, None, "nameless", 1)]
+    df = spark.createDataFrame(rows, "sentence_id bigint, word_id int, word string, at int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {how: {(r.sentence_id, r.word_id, r.word, r.layer): r.vec for r in embedder.embed_tokens(embedder.together(df, ["at", "word"]), embedder.digest_model, ["word"], how).collect()} for how in ("first", "last", "mean")}
+        wide = embedder.embed_tokens(embedder.together(df, ["at", "word"]), embedder.digest_model, ["word"], wide=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    once = [r[:3] for r in rows if "late" not in r[2]]
+    assert set(got["mean"]) == {(*r, layer) for r in once for layer in (0, 1)}
+    words = spark.createDataFrame([(str(i), [w], [0]) for i, (_, _, w) in enumerate(once)], "sentence_id string, words array<string>, word_ids array<int>")
+    for how, own in got.items():
+        want = {(once[int(r.sentence_id)], r.layer): r.vec for r in embedder.pool_pieces(embedder.embed_pieces(words, embedder.digest_model), how).collect()}
+        assert all(np.allclose(v, want[k[:3], k[3]], atol=1e-15) for k, v in own.items())
+    assert all(r.vec == got["mean"][r.sentence_id, r.word_id, r.word, 0] + got["mean"][r.sentence_id, r.word_id, r.word, 1] for r in wide) and len(wide) == len(once)
+
+
+def test_words_without_vectors(spark):
+    def odd():
+        return lambda words: (np.flatnonzero([w != "" for w in words]), np.ones((2, sum(w != "" for w in words), 3)))
+
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, ""), (2, 0, "")], "sentence_id bigint, word_id int, word string")
+    v = embedder.embed_tokens(embedder.together(df, []), odd, ["word"])
+    assert sorted((r.sentence_id, r.word_id, r.layer, r.vec is None) for r in v.collect()) == [(s, w, layer, word == "") for s, w, word in ((1, 0, "a"), (1, 1, ""), (2, 0, "")) for layer in (0, 1)]
+    assert embedder.require_vectors(v.where("word <> ''")).count() == 2
+    with pytest.raises(PySparkException, match="no vector for word 1 of sentence 1"):
+        embedder.require_vectors(v.where("sentence_id = 1")).collect()
+    with pytest.raises(ValueError, match="mode"):
+        embedder.embed_tokens(df, odd, [], "sum")
+
+
 def test_gated_histogram(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert profile.histogram(df, "x", 0, 2, gate=True).collect() == [] and profile.histogram(df, "x", 0, 2).count() == 3

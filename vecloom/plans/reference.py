@@ -19,7 +19,6 @@ from vecloom.sources import embedder, manifolds, tables
 POINT_METRICS = ["iso", "sf", "erank", "pr", "stable_rank", "vmf_kappa", "lpca", "lpca99", "twonn", "gride", "mle", "mom", "tle", "corrint", "fishers", "ess", "mada"]
 FEATURES = ["pos", "index", "length", "head_dist", "relation_type", "arity"]
 
-
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
@@ -202,18 +201,16 @@ def _first_tokens(spark, sf):
     return t.select(F.col("row_id").alias("sentence_id"), "word_id", "word", tokens.index_class(F.col("index").cast("int")).alias("index_class"))
 
 
-def _token_vectors(spark, sf):
+def _token_vectors(spark, sf, keep=("index_class",), digits=None, wide=False):
     """Every token that has a class with its vector of both layers; a class token without a vector is an error."""
-    t = _first_tokens(spark, sf)
-    one = F.array_sort(F.collect_list(F.struct("word_id", "word"))).alias("one")  # the words of a sentence, which the model takes together
-    s = t.groupBy("sentence_id").agg(one).select("sentence_id", F.transform("one", lambda x: x["word"]).alias("words"), F.transform("one", lambda x: x["word_id"]).alias("word_ids"))
-    vectors_ = embedder.pool_pieces(embedder.embed_pieces(s, embedder.digest_model), "mean")
-    return embedder.attach(t.where("index_class is not null"), vectors_, missing="fail").withColumn("token_id", F.concat_ws("-", "sentence_id", "word_id"))
+    t = _read(spark, sf, "sentence_tokens").where("word is not null").select(F.col("row_id").alias("sentence_id"), "word_id", "word", "index", "loaded_at")
+    t = embedder.together(t, ["loaded_at", "word", "index"]).select("sentence_id", "word_id", "word", tokens.index_class(F.col("index").cast("int")).alias("index_class"))
+    v = embedder.embed_tokens(t, embedder.digest_model, list(keep), "mean", digits, wide)
+    return embedder.require_vectors(v.where("index_class is not null"))
 
 
 def token_vectors(spark, sf):
-    vec = F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec")
-    return _token_vectors(spark, sf).select(F.col("sentence_id").alias("row_id"), "word_id", "index_class", "layer", vec)
+    return _token_vectors(spark, sf, digits=6).select(F.col("sentence_id").alias("row_id"), "word_id", "index_class", "layer", "vec")
 
 
 def class_layer_metrics(spark, sf):
@@ -223,7 +220,7 @@ def class_layer_metrics(spark, sf):
 
 
 def class_layer_bootstrap(spark, sf):
-    b = metrics.bootstrap(_token_vectors(spark, sf), "index_class", "layer", "token_id", "vec", "pr")
+    b = metrics.bootstrap(_token_vectors(spark, sf).withColumn("token_id", F.concat_ws("-", "sentence_id", "word_id")), "index_class", "layer", "token_id", "vec", "pr")
     return tables.result_rows(b, "all", "digest", "index", "index_class", "layer", "mean", "sentence_tokens")
 
 
@@ -233,7 +230,7 @@ def bootstrap_heavy(spark, sf):
 
 
 def pca3d_tokens(spark, sf):
-    return metrics.pca_projection(settle(_token_vectors(spark, sf)), ["layer"], "token_id", "vec", keep=["index_class", "word"])
+    return metrics.pca_projection(settle(_token_vectors(spark, sf, ["index_class", "word"]).withColumn("token_id", F.concat_ws("-", "sentence_id", "word_id"))), ["layer"], "token_id", "vec", keep=["index_class", "word"])
 
 
 def missing_vectors(spark, sf):
