@@ -178,3 +178,38 @@ def test_moment_metrics_take_whole_groups(spark):
     c = K.Cloud(x)
     assert all(got[m].n == 300 and abs(got[m].value - K.METRICS[m][1](c)) < 1e-6 for m in (*K.MOMENT, "vmf_kappa"))
     assert got["twonn"].n == 50
+
+
+def test_isotropy_in_one_pass(spark):
+    """As participation() and vmf_kappa(), for any kind of key, null keys among them; the vectors are read once and written nowhere."""
+    import decimal
+
+    from pyspark.sql import functions as F
+
+    from vecloom.operators import vectors
+
+    rng = np.random.default_rng(5)
+    vecs = [[float(x) for x in rng.normal(size=3) + 1] for _ in range(60)]
+    vecs[3], vecs[4], vecs[5] = None, [1.0, None, 2.0], [1.0, float("nan"), 2.0]
+    rows = [(["a", None, "b"][i % 3], [1, None][i % 2], decimal.Decimal(i % 2), v) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "k string, l int, m decimal(5,2), v array<double>").repartition(4)
+    got = {r[:3]: r for r in vectors.isotropy(df, ["k", "l", "m"], "v").collect()}
+    assert len(got) == 6
+    for part, names in ((vectors.participation, ("d", "pr", "iso_score")), (vectors.vmf_kappa, ("vmf_kappa",))):
+        want = part(df, ["k", "l", "m"], "v").collect()
+        assert len(want) == 6 and all(abs(got[r[:3]][c] - r[c]) < 1e-9 for r in want for c in names)
+    x = np.array([v for i, v in enumerate(vecs) if i % 6 == 0])
+    assert abs(got["a", 1, 0].pr - K.METRICS["pr"][1](K.Cloud(x))) < 1e-9
+    assert vectors.isotropy(df.where("false"), ["k"], "v").collect() == []
+    whole = vectors.isotropy(df.where("l = 1").withColumn("v", F.col("v").cast("array<float>")), [], "v").collect()
+    assert len(whole) == 1 and whole[0].d == 3
+
+
+def test_class_layer_metrics_keep_no_vectors(spark, sf, monkeypatch):
+    """They wrote every vector to the shared folder first, and joined the vectors to the tokens."""
+    from vecloom.plans import reference
+
+    monkeypatch.setattr(reference, "settle", lambda df: 1 / 0)
+    df = reference.class_layer_metrics(spark, sf)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 20

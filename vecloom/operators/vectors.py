@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,46 +53,77 @@ def _key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [f for k in keys for f in df.schema.fields if f.name == k]
 
 
-def moments(df: DataFrame, keys: list[str], vec: str, outer: bool = True) -> DataFrame:
+def _matrix(vecs: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix; a null among them is NaN."""
+    n = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+    if len(n) and (n != n[0]).any():
+        raise ValueError("vectors of a group differ in length")
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), int(n[0]) if len(n) else 0)
+
+
+def _by_key(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.Array | None]]:
+    """Every key of a batch with its rows; NaN is null. No rows are named where the batch has one key."""
+    rows = [np.arange(batch.num_rows)]
+    if keys:
+        codes = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        at = np.argsort(codes, kind="stable")
+        rows = np.split(at, np.flatnonzero(np.diff(codes[at])) + 1)
+    for r in rows:
+        key = (batch.column(k)[int(r[0])].as_py() for k in keys)
+        yield tuple(None if pd.isna(k) else k for k in key), pa.array(r) if len(rows) > 1 else None
+
+
+def moments(df: DataFrame, keys: list[str], vec: str, outer: bool = True, unit: bool = False) -> DataFrame:
     """keys, n, sums, scatter: per group the number of vectors, their sum and the flat sum of outer products.
 
     Every task adds up its own vectors; only sums are shuffled, merged in two
     steps, so a group of any size costs no task more than MERGE_PARTS sums.
     Vectors with nulls or NaN are left out; those of a group must have one length.
-    Without `outer`, scatter is empty.
+    Without `outer`, scatter is empty. With `unit`, units is the sum of the
+    vectors divided by their lengths.
     """
-    schema = T.StructType([*_key_fields(df, keys), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("scatter", T.ArrayType(T.DoubleType()))])
+    sums = ["sums", "scatter", *["units"] * unit]
+    schema = T.StructType([*_key_fields(df, keys), T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in sums]])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, list] = {}
-        for pdf in batches:
-            for key, g in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
-                key = key if isinstance(key, tuple) else (key,)
-                key = tuple(None if pd.isna(k) else k for k in key)
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in g["__v"]])
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds, vecs = [batch.schema.field(k).type for k in keys], batch.column("__v")
+            for key, rows in _by_key(batch, keys):
+                x = _matrix(vecs if rows is None else vecs.take(rows))
                 x = x[np.isfinite(x).all(axis=1)]
-                got = acc.setdefault(key, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]) if outer else 0), int(g["__p"].iloc[0])])
+                d = x.shape[1]
+                got = acc.setdefault(key, [0, np.zeros(d), np.zeros((d, d) if outer else 0), np.zeros(d if unit else 0), batch.column("__p")[0].as_py()])
                 got[0] += len(x)
                 got[1] += x.sum(axis=0)
                 if outer:
                     got[2] += x.T @ x
-            if sum(8 * (s.size + c.size) for _, s, c, _ in acc.values()) > HELD_BYTES:
-                yield table(acc)
+                if unit:
+                    got[3] += (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)).sum(axis=0)
+            if sum(8 * sum(x.size for x in held[1:4]) for held in acc.values()) > HELD_BYTES:
+                yield table(acc, kinds)
                 acc = {}
-        yield table(acc)
+        if acc:
+            yield table(acc, kinds)
 
-    def table(acc: dict[tuple, list]) -> pd.DataFrame:
-        return pd.DataFrame([(*k, p, n, s.tolist(), c.ravel().tolist()) for k, (n, s, c, p) in acc.items()], columns=schema.names)
+    def table(acc: dict[tuple, list], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        made = [pa.array([k[i] for k in acc], type=kind) for i, kind in enumerate(kinds)]
+        part, n = pa.array([held[4] for held in acc.values()], type=pa.int32()), pa.array([held[0] for held in acc.values()], type=pa.int64())
+        lists = [pa.array([held[1 + i].ravel() for held in acc.values()], type=pa.list_(pa.float64())) for i in range(len(sums))]
+        return pa.RecordBatch.from_arrays([*made, part, n, *lists], names=schema.names)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
         out["n"] = int(pdf["n"].sum())
-        for c in ("sums", "scatter"):
+        for c in sums:
             out[c] = [np.sum(np.stack([np.asarray(v) for v in pdf[c]]), axis=0).tolist()]
         return out
 
     slim = df.where(F.col(vec).isNotNull()).select(*keys, F.col(vec).alias("__v"), F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)).alias("__p"))
-    once = slim.mapInPandas(partial, schema).groupBy(*keys, "part").applyInPandas(merge, schema)
+    once = slim.mapInArrow(partial, schema).groupBy(*keys, "part").applyInPandas(merge, schema)
     return once.groupBy(*keys).applyInPandas(merge, schema).drop("part")
 
 
@@ -104,31 +137,53 @@ def scatter_matrix(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return long.select(*keys, i.alias("i"), j.alias("j"), (F.col("raw") - F.element_at("sums", i + 1) * F.element_at("sums", j + 1) / F.col("n")).alias("s"))
 
 
+def _participation(r: dict, eps: float) -> tuple[int, float, float | None]:
+    """d, pr and iso_score of a row of moments()."""
+    s = np.asarray(r["sums"], dtype=float)
+    d = len(s)
+    c = np.asarray(r["scatter"], dtype=float).reshape(d, d) - np.outer(s, s) / max(r["n"], 1)
+    pr = float(np.trace(c) ** 2 / ((c * c).sum() + eps))
+    return d, pr, (pr - 1) / (d - 1) if d > 1 else None
+
+
+_ISO = (T.StructField("d", T.IntegerType()), T.StructField("pr", T.DoubleType()), T.StructField("iso_score", T.DoubleType()))
+
+
 def participation(df: DataFrame, keys: list[str], vec: str, eps: float = 1e-12) -> DataFrame:
     """keys, d, pr, iso_score: from trace and Frobenius norm of the scatter matrix, without eigenvalues."""
-    out = T.StructType([*_key_fields(df, keys), T.StructField("d", T.IntegerType()), T.StructField("pr", T.DoubleType()), T.StructField("iso_score", T.DoubleType())])
+    out = T.StructType([*_key_fields(df, keys), *_ISO])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                s = np.asarray(r["sums"], dtype=float)
-                d = len(s)
-                c = np.asarray(r["scatter"], dtype=float).reshape(d, d) - np.outer(s, s) / max(r["n"], 1)
-                pr = float(np.trace(c) ** 2 / ((c * c).sum() + eps))
-                rows.append((*[r[k] for k in keys], d, pr, (pr - 1) / (d - 1) if d > 1 else None))
-            yield pd.DataFrame(rows, columns=out.names)
+            yield pd.DataFrame([(*[r[k] for k in keys], *_participation(r, eps)) for r in pdf.to_dict("records")], columns=out.names)
 
     return moments(df, keys, vec).mapInPandas(run, out)
 
 
+def _concentration(n: Column, d: Column, r: Column) -> Column:
+    k = F.greatest(r * (d - r * r) / (1 - r * r + 1e-9), F.lit(0.0))
+    return F.when(n >= 2, F.when(r < 1e-9, F.lit(0.0)).otherwise(k)).alias("vmf_kappa")
+
+
 def vmf_kappa(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """keys, vmf_kappa: concentration of the directions, from their sum; null for fewer than two vectors."""
     unit = df.withColumn("__n", norm(F.col(vec))).select(*keys, F.transform(vec, lambda x: x.cast("double") / (F.col("__n") + 1e-9)).alias("__unit"))
     d = F.size("sums")
     m = moments(unit, keys, "__unit", outer=False).select(*keys, "n", d.alias("d"), (norm(F.col("sums")) / F.greatest("n", F.lit(1))).alias("r"))
-    k = F.greatest(F.col("r") * (F.col("d") - F.col("r") * F.col("r")) / (1 - F.col("r") * F.col("r") + 1e-9), F.lit(0.0))
-    return m.select(*keys, F.when(F.col("n") >= 2, F.when(F.col("r") < 1e-9, F.lit(0.0)).otherwise(k)).alias("vmf_kappa"))
+    return m.select(*keys, _concentration(F.col("n"), F.col("d"), F.col("r")))
+
+
+def isotropy(df: DataFrame, keys: list[str], vec: str, eps: float = 1e-12) -> DataFrame:
+    """keys, d, pr, iso_score, vmf_kappa: participation() and vmf_kappa() in one pass over the vectors, which are kept nowhere."""
+    out = T.StructType([*_key_fields(df, keys), *_ISO, T.StructField("__n", T.LongType()), T.StructField("__r", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*[r[k] for k in keys], *_participation(r, eps), r["n"], float(np.linalg.norm(r["units"])) / max(r["n"], 1)) for r in pdf.to_dict("records")]
+            yield pd.DataFrame(rows, columns=out.names)
+
+    m = moments(df, keys, vec, unit=True).mapInPandas(run, out)
+    return m.select(*keys, *[f.name for f in _ISO], _concentration(F.col("__n"), F.col("d"), F.col("__r")))
 
 
 def mean_abs_cosine(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -214,8 +214,8 @@ def token_vectors(spark, sf):
 
 
 def class_layer_metrics(spark, sf):
-    v, keys = settle(_token_vectors(spark, sf)), ["index_class", "layer"]
-    both = vectors.participation(v, keys, "vec").join(vectors.vmf_kappa(v, keys, "vec"), keys)
+    keys = ["index_class", "layer"]
+    both = vectors.isotropy(_token_vectors(spark, sf), keys, "vec")
     return both.select(*keys, "d", *[F.round(c, 5).alias(c) for c in ("pr", "iso_score", "vmf_kappa")])
 
 
