@@ -213,3 +213,18 @@ def test_class_layer_metrics_keep_no_vectors(spark, sf, monkeypatch):
     df = reference.class_layer_metrics(spark, sf)
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 20
+
+
+def test_pca_by_few_layers_keeps_the_rows_where_they_are(spark, sf):
+    """The tokens' vectors were joined, which broadcast one side, written, and shuffled by layer."""
+    from pyspark.sql import functions as F
+
+    from vecloom.plans import reference
+
+    df = _frame(spark, np.random.default_rng(6).normal(size=(90, 6)) * [5, 3, 2, 1, 1, 1] + 7).withColumn("layer", F.col("id") % 2)
+    ways = [{(r.layer, r.id): (r.pc1, r.pc2, r.pc3) for r in metrics.pca_projection(df, ["layer"], "id", "v", **how).collect()} for how in ({}, {"few": True}, {"few": True, "d": 6})]
+    assert len(ways[0]) == 90 and all(way.keys() == ways[0].keys() and all(np.allclose(v, way[k], atol=1e-12) for k, v in ways[0].items()) for way in ways[1:])
+    got = reference.pca3d_tokens(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1 and "hashpartitioning(layer" not in plan.split("BroadcastExchange")[0]
+    assert got.count() == reference.token_vectors(spark, sf).count() and got.where("pc1 is null or pc2 is null or pc3 is null").count() == 0

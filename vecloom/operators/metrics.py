@@ -169,8 +169,15 @@ def points_table(samples: DataFrame, point: str, id_: str, vec: str, metrics: li
     return samples.select(point, id_, vec).groupBy(point).applyInPandas(run, out)
 
 
-def pca_projection(df: DataFrame, keys: list[str], id_: str, vec: str, keep: list[str] = (), k: int = 3) -> DataFrame:
-    """df's keys, id and kept columns with pc1..pck. The directions come from the moments of all vectors; the rows stay where they are."""
+def pca_projection(df: DataFrame, keys: list[str], id_: str, vec: str, keep: list[str] = (), k: int = 3, few: bool = False, d: int | None = None) -> DataFrame:
+    """df's keys, id and kept columns with pc1..pck. The directions come from the moments of all vectors.
+
+    df is read twice, so settle() it where its vectors cost more to make than
+    to keep. With `few`, for keys of few values (as layers), their directions
+    are broadcast and the rows stay where they are; else the planner decides.
+    d is the length of the vectors where it is known and small: the products
+    are then written out, which is compiled and much faster.
+    """
     schema = _fields(df, keys, ("mean", T.ArrayType(T.DoubleType())), ("axes", T.ArrayType(T.ArrayType(T.DoubleType()))))
 
     def axes(batches):
@@ -185,6 +192,11 @@ def pca_projection(df: DataFrame, keys: list[str], id_: str, vec: str, keep: lis
             yield pd.DataFrame(rows, columns=schema.names)
 
     a = moments(df, keys, vec).mapInPandas(axes, schema)
+    if d is not None:
+        flat = a.select(*keys, *[F.get("mean", F.lit(i)).alias(f"__m{i}") for i in range(d)], *[F.get(F.get("axes", F.lit(j)), F.lit(i)).alias(f"__a{j}_{i}") for j in range(k) for i in range(d)])
+        dims = [F.get(F.col(vec), F.lit(i)).cast("double") - F.col(f"__m{i}") for i in range(d)]
+        pc = [reduce(lambda acc, x: acc + x, [F.lit(0.0), *[x * F.col(f"__a{j}_{i}") for i, x in enumerate(dims)]]).alias(f"pc{j + 1}") for j in range(k)]
+        return df.join(F.broadcast(flat) if few else flat, keys).select(*keys, id_, *keep, *pc)
     centred = F.zip_with(vec, "mean", lambda x, m: x.cast("double") - m)
     pc = [F.aggregate(F.zip_with("__c", F.get("axes", F.lit(j)), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x).alias(f"pc{j + 1}") for j in range(k)]
-    return df.join(a, keys).withColumn("__c", centred).select(*keys, id_, *keep, *pc)
+    return df.join(F.broadcast(a) if few else a, keys).withColumn("__c", centred).select(*keys, id_, *keep, *pc)
