@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,40 @@ def test_empty_and_without_keys(spark):
 def test_more_than_there_is_raises(spark):
     with pytest.raises(ValueError, match="samples of 5 rows from 4"):
         S.subsamples(spark.range(4), ["id"], 2, 5)
+
+
+def test_a_bootstrap_of_moments_takes_whole_classes(spark, monkeypatch):
+    """Classes beyond DRAWS were cut to it; here that is 50, and a block holds about 30 different rows."""
+    from vecloom.operators import kernels as K
+    from vecloom.operators import metrics
+
+    monkeypatch.setattr(metrics, "DRAWS", {"fast": 50, "heavy": 50})
+    monkeypatch.setattr(metrics, "DRAW_ROWS", 30)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) * [4, 2, 1, 1]
+    rows = [("a", 2, [float(v) for v in (*r, *(2 * r + 1))]) for r in x] + [("a", 2, [float(v) for v in (*x[0], *(2 * x[0] + 1))])] * 100
+    rows += [("b", 2, [float(i % 5)] * 8) for i in range(7)] + [(None, 2, [float(i), 1.0, 0.0, float(i * i)] * 2) for i in range(9)]
+    rows += [("few", 2, [1.0] * 8)] * 2 + [("a", 2, None), ("a", 2, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "c string, layers int, v array<double>")
+    one, two = ({(r.c, r.layer): r for r in metrics.bootstrap_moments(df.repartition(n), "c", "v", "layers", "pr", reps=300).collect()} for n in (1, 5))
+    assert {(k, r.n_tokens) for k, r in one.items()} == {((c, layer), n) for c, n in (("a", 500), ("b", 7), (None, 9)) for layer in (0, 1)}
+    for k, r in one.items():
+        assert all(abs(r[c] - two[k][c]) < 1e-9 for c in ("mean", "ci_low", "ci_high"))
+    for c in ("a", "b", None):  # the second layer is the first one scaled and moved, so pr is the same if the draws are
+        assert all(abs(one[c, 0][m] - one[c, 1][m]) < 1e-9 for m in ("mean", "ci_low", "ci_high"))
+    whole = np.concatenate([x, np.repeat(x[:1], 100, axis=0)])
+    want = [K.METRICS["pr"][1](K.Cloud(whole[rng.integers(0, 500, 500)])) for _ in range(2000)]
+    got = one["a", 0]
+    assert abs(got["mean"] - np.mean(want)) < 4 * np.std(want) / 300**0.5
+    assert abs((got.ci_high - got.ci_low) / (np.percentile(want, 97.5) - np.percentile(want, 2.5)) - 1) < 0.25
+    with pytest.raises(ValueError, match="twonn"):
+        metrics.bootstrap_moments(df, "c", "v", "layers", "twonn")
+
+
+def test_the_class_bootstrap_takes_every_token(spark, sf, monkeypatch):
+    from vecloom.operators import metrics
+    from vecloom.plans import reference
+
+    monkeypatch.setattr(metrics, "DRAWS", {"fast": 20, "heavy": 20})
+    n = {(r.index_class, r.layer): r["count"] for r in reference.token_vectors(spark, sf).groupBy("index_class", "layer").count().collect()}
+    assert {(r["class"], r.layer): r.n_tokens for r in reference.class_layer_bootstrap(spark, sf).collect()} == n and max(n.values()) > 20

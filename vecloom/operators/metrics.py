@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from vecloom.operators import kernels as K
 from vecloom.operators.sampling import bootstrap_draw, cap_per_group, confidence
 from vecloom.operators.vectors import NEAREST, moments, nearest_metrics, norm
+from vecloom.session import settle
 
 #: Vectors of a group that one kernel call takes at most, by cost.
 CAPS = {"fast": 100_000, "heavy": 5_000}
@@ -22,6 +23,8 @@ CAPS = {"fast": 100_000, "heavy": 5_000}
 DRAWS = {"fast": 184_870, "heavy": 5_000}
 #: Replicates of a bootstrap by cost, and those that one task evaluates.
 REPS, REPS_PER_TASK = {"fast": 50, "heavy": 200}, 25
+#: Different rows of a block that one task draws from, and numbers that it multiplies at once.
+DRAW_ROWS, DRAW_NUMBERS = 20_000, 1 << 21
 
 
 def _fields(df: DataFrame, keys: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -152,6 +155,73 @@ def bootstrap(df: DataFrame, cls: str, layer: str, id_: str, vec: str, metric: s
     return stats.join(n, reduce(lambda a, b: a & b, cond)).select(*[stats[k] for k in keys], F.lit(metric).alias("metric"), "mean", "ci_low", "ci_high", "n_tokens")
 
 
+def bootstrap_moments(df: DataFrame, cls: str, vecs: str, layers: str, metric: str, layer: str = "layer", reps: int | None = None, seed: int = 42) -> DataFrame:
+    """cls, layer, metric, mean, ci_low, ci_high, n_tokens as bootstrap() gives them, for a metric of MOMENT, over whole classes.
+
+    vecs: the vectors of all layers one after the other, as many as `layers`
+    says; rows with nulls or NaN are left out. A replicate draws as many rows
+    as the class has, with replacement, and takes all layers of each. How often
+    the rows are drawn is multinomial, so it is drawn first for blocks of a
+    class, then within each block, and rows that are equal in all layers are
+    drawn as one with their number. A task holds a block, whatever the class's
+    size; only sums go on. Draws depend on the rows, the seed and the number of
+    the replicate, not on the partitioning.
+    """
+    if metric not in K.MOMENT:
+        raise ValueError(f"{metric} is no metric of moments")
+    reps, kernel = reps or REPS[K.METRICS[metric][0]], K.METRICS[metric][1]
+    finite = ~F.exists(vecs, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
+    rows = df.where(F.col(vecs).isNotNull() & finite).select(F.col(cls).alias("__c"), F.col(layers).cast("int").alias("__l"), F.transform(vecs, lambda x: x.cast("double")).alias("__v"))
+    rows = settle(rows.groupBy("__c", "__l", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    blocks = max(1, -(-rows.count() // DRAW_ROWS))
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), "__v"), F.lit(blocks)).cast("int"))
+    sizes = rows.groupBy("__c", "__b").agg(F.sum("__n").alias("__size"))
+    shared = T.StructType([sizes.schema["__c"], T.StructField("__b", T.IntegerType()), T.StructField("__draws", T.ArrayType(T.LongType()))])
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The draws of a class that fall to each of its blocks, by replicate."""
+        pdf = pdf.sort_values("__b")
+        size = pdf["__size"].to_numpy()
+        n = int(size.sum())
+        if n < 3:
+            return pd.DataFrame(columns=shared.names)
+        draws = np.stack([np.random.default_rng([seed, r]).multinomial(n, size / n) for r in range(reps)], axis=1)
+        return pd.DataFrame({"__c": pdf["__c"], "__b": pdf["__b"], "__draws": list(draws)})
+
+    sums = T.StructType([sizes.schema["__c"], *T.StructType.fromDDL("layer int, rep int, n bigint, sums array<double>, scatter array<double>")])
+
+    def draw(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        """The sums of a block's drawn rows, by layer and replicate."""
+        if own.empty or given.empty:
+            return pd.DataFrame(columns=sums.names)
+        (b, draws), count = (int(given["__b"].iloc[0]), given["__draws"].iloc[0]), int(own["__l"].iloc[0])
+        x, n = np.stack([np.asarray(v, dtype=np.float64) for v in own["__v"]]), own["__n"].to_numpy()
+        at = np.lexsort(x.T[::-1])
+        x, n = x[at].reshape(len(x), count, -1), n[at]
+        times = np.stack([np.random.default_rng([seed, r, b]).multinomial(int(m), n / n.sum()) for r, m in enumerate(draws)]).astype(np.float64)
+        d, out = x.shape[2], []
+        step = max(1, DRAW_NUMBERS // max(d * d, 1))
+        for at in range(count):
+            total = times @ x[:, at]
+            scatter = sum(times[:, i : i + step] @ (y[:, :, None] * y[:, None, :]).reshape(len(y), -1) for i in range(0, len(x), step) for y in [x[i : i + step, at]])
+            out += [(own["__c"].iloc[0], at, r, int(times[r].sum()), total[r].tolist(), scatter[r].tolist()) for r in range(len(times))]
+        return pd.DataFrame(out, columns=sums.names)
+
+    out = T.StructType([sizes.schema["__c"], *T.StructType.fromDDL("layer int, value double, n bigint")])
+
+    def value(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, total, scatter = int(pdf["n"].sum()), np.stack(pdf["sums"]).sum(axis=0), np.stack(pdf["scatter"]).sum(axis=0)
+        return pd.DataFrame([(pdf["__c"].iloc[0], pdf["layer"].iloc[0], evaluate(kernel, K.Moments(n, total, scatter))[0], n)], columns=out.names)
+
+    draws = sizes.groupBy("__c").applyInPandas(share, shared)
+    parts = rows.groupBy("__c", "__b").cogroup(draws.groupBy("__c", "__b")).applyInPandas(draw, sums)
+    values = parts.groupBy("__c", "layer", "rep").applyInPandas(value, out)
+    n = values.groupBy("__c", "layer").agg(F.max("n").alias("n_tokens"))
+    stats = confidence(values, ["__c", "layer"], "value")
+    cond = stats["__c"].eqNullSafe(n["__c"]) & (stats["layer"] == n["layer"])
+    return stats.join(n, cond).select(stats["__c"].alias(cls), stats["layer"].alias(layer), F.lit(metric).alias("metric"), "mean", "ci_low", "ci_high", "n_tokens")
+
+
 def points_table(samples: DataFrame, point: str, id_: str, vec: str, metrics: list[str], heavy_cap: int = 1000, seed: int = 42) -> DataFrame:
     """A row per sample: point, n, and a column per metric in the given order; heavy ones on heavy_cap vectors."""
     out = T.StructType([T.StructField(point, samples.schema[point].dataType), T.StructField("n", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in metrics]])

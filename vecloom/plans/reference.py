@@ -220,7 +220,7 @@ def class_layer_metrics(spark, sf):
 
 
 def class_layer_bootstrap(spark, sf):
-    b = metrics.bootstrap(_token_vectors(spark, sf).withColumn("token_id", F.concat_ws("-", "sentence_id", "word_id")), "index_class", "layer", "token_id", "vec", "pr")
+    b = metrics.bootstrap_moments(_token_vectors(spark, sf, wide=True), "index_class", "vec", "layers", "pr")
     return tables.result_rows(b, "all", "digest", "index", "index_class", "layer", "mean", "sentence_tokens")
 
 
