@@ -94,3 +94,16 @@ def test_the_class_bootstrap_takes_every_token(spark, sf, monkeypatch):
     monkeypatch.setattr(metrics, "DRAWS", {"fast": 20, "heavy": 20})
     n = {(r.index_class, r.layer): r["count"] for r in reference.token_vectors(spark, sf).groupBy("index_class", "layer").count().collect()}
     assert {(r["class"], r.layer): r.n_tokens for r in reference.class_layer_bootstrap(spark, sf).collect()} == n and max(n.values()) > 20
+
+
+def test_the_class_bootstrap_joins_no_vectors(spark, sf, monkeypatch):
+    """The vectors were joined to their tokens, and one side broadcast; now equal tokens are settled as one, and nothing is broadcast."""
+    from vecloom.operators import metrics
+    from vecloom.plans import reference
+
+    seen = []
+    monkeypatch.setattr(metrics, "settle", lambda df: seen.append(df) or df)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (reference.class_layer_bootstrap(spark, sf), *seen)]
+    assert len(seen) == 1 and all("Join" not in p and "Broadcast" not in p for p in plans)
+    n = reference.token_vectors(spark, sf).where("layer = 0").count()
+    assert seen[0].agg(F.sum("__n")).first()[0] == n > seen[0].count()

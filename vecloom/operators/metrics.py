@@ -216,10 +216,8 @@ def bootstrap_moments(df: DataFrame, cls: str, vecs: str, layers: str, metric: s
     draws = sizes.groupBy("__c").applyInPandas(share, shared)
     parts = rows.groupBy("__c", "__b").cogroup(draws.groupBy("__c", "__b")).applyInPandas(draw, sums)
     values = parts.groupBy("__c", "layer", "rep").applyInPandas(value, out)
-    n = values.groupBy("__c", "layer").agg(F.max("n").alias("n_tokens"))
-    stats = confidence(values, ["__c", "layer"], "value")
-    cond = stats["__c"].eqNullSafe(n["__c"]) & (stats["layer"] == n["layer"])
-    return stats.join(n, cond).select(stats["__c"].alias(cls), stats["layer"].alias(layer), F.lit(metric).alias("metric"), "mean", "ci_low", "ci_high", "n_tokens")
+    stats = confidence(values, ["__c", "layer", "n"], "value")  # n is the class's size in every replicate
+    return stats.select(F.col("__c").alias(cls), F.col("layer").alias(layer), F.lit(metric).alias("metric"), "mean", "ci_low", "ci_high", F.col("n").alias("n_tokens"))
 
 
 def points_table(samples: DataFrame, point: str, id_: str, vec: str, metrics: list[str], heavy_cap: int = 1000, seed: int = 42) -> DataFrame:
